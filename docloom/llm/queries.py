@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard, langid, packing, quality, sharding
+from . import html_text, jaccard, langid, packing, pii, quality, sharding
 from ._shared import table
 
 
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -37,6 +41,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_pii_weak_supervision": op1_pii_weak_supervision,
         "op2_jaccard_join": op2_jaccard_join,
         "op6_language_id": op6_language_id,
         "op7_best_fit_packing": op7_best_fit_packing,
