@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, jaccard, langid, packing, pii, quality, sharding
+from . import decontam, html_text, jaccard, langid, packing, pii, quality, sharding, suffixes
 from ._shared import table
 
 
@@ -17,6 +17,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +51,7 @@ def queries() -> dict:
     return {
         "op1_pii_weak_supervision": op1_pii_weak_supervision,
         "op2_jaccard_join": op2_jaccard_join,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_decontamination": op4_decontamination,
         "op6_language_id": op6_language_id,
         "op7_best_fit_packing": op7_best_fit_packing,
