@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, jaccard, langid, packing, pii, quality, sharding, suffixes
+from . import decontam, html_text, jaccard, langid, license, packing, pii, quality, sharding, suffixes
 from ._shared import table
 
 
@@ -25,6 +25,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie at <source>/<doc_id>.txt."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    found = license.scan(files)
+    return found.select(F.col("file").alias("doc_id"), "path", "license", "score", "is_license_file", "inherited", "inherited_from", "effective")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -53,6 +60,7 @@ def queries() -> dict:
         "op2_jaccard_join": op2_jaccard_join,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_decontamination": op4_decontamination,
+        "op5_license_scan": op5_license_scan,
         "op6_language_id": op6_language_id,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_virtual_slots": op8_virtual_slots,
