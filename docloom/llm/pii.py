@@ -154,15 +154,9 @@ def candidates(texts: DataFrame) -> DataFrame:
             rows = []
             for text in batch.column("text"):
                 text = text.as_py() or ""
-                found = sorted(spans(text), key=lambda s: (s[1], s[0]))
-                base = [s for s in found if s[3]]
-                rows.append(
-                    (
-                        *[sum(s[0] == k for s in base) for k in range(BASE)],
-                        hashlib.sha256(joined(base).encode()).hexdigest(),
-                        [{"kind": k, "start": a, "end": b, "base": ok, "pattern": _pattern(k, votes(text, k, a, b, ok), b - a)} for k, a, b, ok in found],
-                    )
-                )
+                found = _described(text)
+                base = [(s["kind"], s["start"], s["end"]) for s in found if s["base"]]
+                rows.append((*[sum(s[0] == k for s in base) for k in range(BASE)], hashlib.sha256(joined(base).encode()).hexdigest(), found))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.string()), pa.array(columns[5], SPAN_ARROW)],
@@ -234,31 +228,85 @@ def span_classifier(patterns: dict[int, int], posterior: dict[int, float], round
     return w
 
 
+def _scores(patterns: dict[int, int]) -> dict[int, float]:
+    """The final classifier's probability for every pattern seen."""
+    posterior, _ = reliabilities(patterns)
+    weights = span_classifier(patterns, posterior)
+    return {code: float(1 / (1 + np.exp(-_vector(code) @ weights))) for code in patterns}
+
+
+def _count_patterns(patterns: DataFrame) -> dict[int, int]:
+    return {r["pattern"]: r["n"] for r in patterns.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+
+
+def learned(texts: DataFrame) -> dict[int, float]:
+    """Pattern scores learned from (doc_id, text) rows."""
+    return _scores(_count_patterns(candidates(texts).select(F.explode("found.pattern").alias("pattern"))))
+
+
+def _accept(found: list[dict], score: dict[int, float]) -> list[dict]:
+    """Base spans, and the others that the classifier accepts where they overlap none before them."""
+    got = [s for s in found if s["base"]]
+    for s in found:
+        if not s["base"] and score.get(s["pattern"], 0.0) >= ACCEPT and not any(o["start"] < s["end"] and s["start"] < o["end"] for o in got):
+            got.append(s)
+    return sorted(got, key=lambda s: (s["start"], s["kind"]))
+
+
+def _described(text: str) -> list[dict]:
+    found = sorted(spans(text), key=lambda s: (s[1], s[0]))
+    return [{"kind": k, "start": a, "end": b, "base": ok, "pattern": _pattern(k, votes(text, k, a, b, ok), b - a)} for k, a, b, ok in found]
+
+
+def accepted(text: str, score: dict[int, float]) -> list[tuple[int, int, int, float | None]]:
+    """(kind number, start, end, score) of a text's accepted spans."""
+    return [(s["kind"], s["start"], s["end"], score.get(s["pattern"])) for s in _accept(_described(text), score)]
+
+
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found) per text; found lists the accepted spans
-    as (kind, start, end, score)."""
+    as (kind, start, end, score). Texts are read once: candidates go to the shared folder."""
     seen = staged(candidates(only(df, doc_id=id_col, text=text_col)), "candidates")
-    patterns = {r["pattern"]: r["n"] for r in seen.select(F.explode("found.pattern").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).collect()}
-    posterior, _ = reliabilities(patterns)
-    weights = span_classifier(patterns, posterior)
-    score = {code: float(1 / (1 + np.exp(-_vector(code) @ weights))) for code in patterns}
+    score = _scores(_count_patterns(seen.select(F.explode("found.pattern").alias("pattern"))))
     kind = seen.schema["doc_id"].dataType.simpleString()
     keep = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
+    arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
         for batch in batches:
-            texts, accepted = [], []
-            for found in batch.column("found").to_pylist():
-                got = [s for s in found or [] if s["base"]]
-                for s in found or []:
-                    if not s["base"] and score[s["pattern"]] >= ACCEPT and not any(o["start"] < s["end"] and s["start"] < o["end"] for o in got):
-                        got.append(s)
-                got.sort(key=lambda s: (s["start"], s["kind"]))
-                texts.append(joined([(s["kind"], s["start"], s["end"]) for s in got]))
-                accepted.append([{"kind": KINDS[s["kind"]], "start": s["start"], "end": s["end"], "score": score[s["pattern"]]} for s in got])
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], pa.array(texts, pa.string()), pa.array(accepted, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))],
-                names=[*keep, "spans", "found"],
-            )
+            rows = [_accept(found or [], score) for found in batch.column("found").to_pylist()]
+            texts = [joined([(s["kind"], s["start"], s["end"]) for s in got]) for got in rows]
+            found = [[{"kind": KINDS[s["kind"]], "start": s["start"], "end": s["end"], "score": score[s["pattern"]]} for s in got] for got in rows]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string()), pa.array(found, arrow)], names=[*keep, "spans", "found"])
 
     return seen.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long,score:double>>")
+
+
+def mask(text: str, found: list[dict]) -> str:
+    """A text with each accepted span replaced by its kind in brackets; of overlapping spans the first counts."""
+    out, at = [], 0
+    for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
+        if s["start"] >= at:
+            out += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
+        at = max(at, s["end"])
+    return "".join(out) + text[at:]
+
+
+def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with personal data masked in the text; rows, order of columns and other columns stay.
+
+    The classifier is learned over all texts first; then spans and masks are made where the text is, so no text is
+    joined or shuffled.
+    """
+    score = learned(only(df, doc_id=id_col, text=text_col))
+    name = [f.name for f in df.schema.fields].index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for text in batch.column(name):
+                text = text.as_py()
+                texts.append(text if text is None else mask(text, [{"kind": KINDS[k], "start": a, "end": b} for k, a, b, _ in accepted(text, score)]))
+            yield batch.set_column(name, batch.schema.field(name), pa.array(texts, batch.schema.field(name).type))
+
+    return df.mapInArrow(run, df.schema)
