@@ -42,3 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Project the named input columns to the operator's own names, so extra columns can't clash."""
     return df.select([F.col(f"`{source}`").alias(own) for own, source in columns.items()])
+
+
+#: Ids that are broadcast to select rows, once counted: beyond, Spark joins by a shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def selected(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """Semi or anti join on an id column without a shuffle of ``df`` while the ids are provably few."""
+    ids = staged(ids.select(F.col(column).alias("_wanted")).distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, F.col(f"`{column}`") == F.col("_wanted"), how)

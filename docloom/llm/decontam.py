@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import let, only, staged
+from ._shared import let, only, selected, staged
 
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -34,7 +34,6 @@ RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 BENCHMARK_BLOCK = 100_000
 #: Items whose multi-index (37 x 8 rows an item) is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ITEMS = 4_000
-BROADCAST_IDS = 4_000_000
 
 
 def folded_words(text: Column) -> Column:
@@ -133,7 +132,4 @@ def contaminations(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows whose id leaks no item. The leaking ids are broadcast after they were counted, else shuffled."""
-    leaking = staged(contaminations(df, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_leaking")).distinct(), "leaking")
-    if leaking.count() <= BROADCAST_IDS:
-        leaking = F.broadcast(leaking)
-    return df.join(leaking, F.col(f"`{id_col}`") == F.col("_leaking"), "left_anti")
+    return selected(df, contaminations(df, benchmark, id_col=id_col, **options).withColumnRenamed("doc_id", id_col), id_col, "left_anti")
