@@ -1 +1 @@
-"""docloom: Spark-native document retrieval analytics."""
+"""Column expressions."""

@@ -1 +1 @@
-"""docloom: Spark-native document retrieval analytics."""
+"""DataFrame transformations: tables, chunking, layout, structure, retrieval, answers."""

@@ -1 +1 @@
-"""docloom: Spark-native document retrieval analytics."""
+"""Composed pipelines and the registered queries."""

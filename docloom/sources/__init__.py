@@ -1 +1 @@
-"""docloom: Spark-native document retrieval analytics."""
+"""Scans of files and archives; tables of points, trees and chats."""

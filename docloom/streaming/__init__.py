@@ -1 +1 @@
-"""docloom: Spark-native document retrieval analytics."""
+"""Incremental ingestion from file streams."""
