@@ -29,12 +29,18 @@ ROUNDS = 3
 LONGEST_PIECE = 8
 #: Training words longer than this are left out of the lattice statistics; prediction has no such bound.
 TRAIN_WORD = 40
-CACHED_WORDS = 200_000
+#: Bounds of a Python worker's caches; they are emptied when full. A text is read in parts of so many words.
+CACHED_WORDS = 300_000
+CACHED_RUNS = 700_000
+PART_WORDS = 50_000
+#: Texts whose new words are scored together.
+TEXT_BYTES = 1 << 19
 SMOOTHING = 0.1
 UNKNOWN = 1e-7
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
+UNDETERMINED = "und"
 
 
 def default_vocabulary() -> str:
@@ -58,15 +64,53 @@ def pieces(path: str) -> dict[str, int]:
     return found
 
 
-def lattice(words: list[str], vocabulary: dict[str, int]) -> np.ndarray:
+_U = np.uint64
+#: One odd multiplier for each place counted from a piece's end.
+_PLACES = (np.arange(1, LONGEST_PIECE + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) ^ _U(0xD1B54A32D192ED03)) * _U(0xBF58476D1CE4E5B9) | _U(1)
+_FILTER_BITS = 20
+
+
+def _spread(points: np.ndarray) -> np.ndarray:
+    return (points + _U(1)) * _U(0x94D049BB133111EB)
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(64 - _FILTER_BITS)).astype(np.int64)
+
+
+@lru_cache(maxsize=2)
+def _hashed(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vocabulary's pieces as (sorted hashes, their numbers, a filter by leading bits)."""
+    found = pieces(path)
+    hashes = np.empty(len(found), dtype=np.uint64)
+    for k, piece in enumerate(found):
+        points = np.frombuffer(piece[::-1].encode("utf-32-le"), "<u4").astype(np.uint64)
+        hashes[k] = (_spread(points) * _PLACES[: len(points)]).sum(dtype=np.uint64)
+    order = np.argsort(hashes)
+    passing = np.zeros(1 << _FILTER_BITS, dtype=bool)
+    passing[_slot(hashes)] = True
+    return hashes[order], order.astype(np.int32), passing
+
+
+def lattice(words: list[str], vocabulary: str) -> np.ndarray:
     """Piece numbers of words of one length: [word, end, length - 1]; single unknown characters are V, no piece V + 1."""
-    n, unknown, none = len(words[0]), len(vocabulary), len(vocabulary) + 1
-    get = vocabulary.get
-    flat = [get(w[j - k : j], unknown if k == 1 else none) if k <= j else none for w in words for j in range(1, n + 1) for k in range(1, LONGEST_PIECE + 1)]
-    return np.array(flat, dtype=np.int32).reshape(len(words), n, LONGEST_PIECE)
+    hashes, numbers, passing = _hashed(vocabulary)
+    n, unknown, none = len(words[0]), len(hashes), len(hashes) + 1
+    points = _spread(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n).astype(np.uint64))
+    out = np.full((len(words), n, LONGEST_PIECE), none, dtype=np.int32)
+    out[:, :, 0] = unknown
+    total = np.zeros_like(points)
+    for k in range(min(n, LONGEST_PIECE)):
+        total[:, k:] += points[:, : n - k] * _PLACES[k]
+        word, end = np.nonzero(passing[_slot(total[:, k:])])
+        mine = total[word, end + k]
+        at = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
+        hit = hashes[at] == mine
+        out[word[hit], end[hit] + k, k] = numbers[at[hit]]
+    return out
 
 
-def log_probabilities(words: list[str], vocabulary: dict[str, int], theta: np.ndarray) -> np.ndarray:
+def log_probabilities(words: list[str], vocabulary: str, theta: np.ndarray) -> np.ndarray:
     """[word, language] log of the sum over all segmentations. theta: [V + 2, language]; the last row is 0."""
     out = np.empty((len(words), theta.shape[1]))
     by_length: dict[int, list[int]] = defaultdict(list)
@@ -89,7 +133,7 @@ def log_probabilities(words: list[str], vocabulary: dict[str, int], theta: np.nd
     return out
 
 
-def expected_counts(words: list[str], times: np.ndarray, vocabulary: dict[str, int], theta: np.ndarray) -> np.ndarray:
+def expected_counts(words: list[str], times: np.ndarray, vocabulary: str, theta: np.ndarray) -> np.ndarray:
     """Expected piece uses under theta[V + 2] of one language, by forward-backward over every segmentation."""
     counts = np.zeros(len(theta))
     by_length: dict[int, list[int]] = defaultdict(list)
@@ -149,7 +193,7 @@ def train(labelled: DataFrame, vocabulary: str, train_texts: int = TRAIN_TEXTS,
         current = sc.broadcast(theta)
 
         def expect(batches, current=current):
-            vocab, table = pieces(vocabulary), current.value
+            table = current.value
             sums = np.zeros_like(table)
             for batch in batches:
                 langs, words, times = batch.column("lang").to_pylist(), batch.column("word").to_pylist(), batch.column("n").to_numpy().astype(float)
@@ -157,7 +201,7 @@ def train(labelled: DataFrame, vocabulary: str, train_texts: int = TRAIN_TEXTS,
                 for i, lang in enumerate(langs):
                     own[lang].append(i)
                 for lang, at in own.items():
-                    sums[:, number[lang]] += expected_counts([words[i] for i in at], times[at], vocab, table[:, number[lang]])
+                    sums[:, number[lang]] += expected_counts([words[i] for i in at], times[at], vocabulary, table[:, number[lang]])
             piece, lang = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(lang, pa.int64()), pa.array(sums[piece, lang], pa.float64())], names=["piece", "lang", "n"])
 
@@ -171,60 +215,122 @@ def train(labelled: DataFrame, vocabulary: str, train_texts: int = TRAIN_TEXTS,
     return languages, theta
 
 
-def predict(texts: DataFrame, languages: list[str], theta: np.ndarray, vocabulary: str) -> DataFrame:
-    """(doc_id, lang_pred, score, n_letter_words) for rows (doc_id, text). Map-only over whole texts."""
-    model = texts.sparkSession.sparkContext.broadcast(theta)
-    kind = texts.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        vocab, table = pieces(vocabulary), model.value
-        number: dict[bytes, int] = {}
-        known = np.zeros((CACHED_WORDS, len(languages) + 1))
-        for batch in batches:
-            best, score, lettered = [], [], []
-            for text in pc.cast(pc.fill_null(batch.column("text"), ""), pa.binary()):
-                tokens = text.as_py().split()
-                total = np.zeros(len(languages) + 1)
-                for lo in range(0, len(tokens), 50_000):
-                    part = tokens[lo : lo + 50_000]
-                    new = [w for w in set(part) if w not in number]
-                    if new:
-                        if len(number) + len(new) > CACHED_WORDS:
-                            number.clear()
-                            new = list(set(part))
-                        runs = [_words(w.decode()) for w in new]
-                        flat = log_probabilities([r for x in runs for r in x], vocab, table) if any(runs) else np.zeros((0, len(languages)))
-                        owner = np.repeat(np.arange(len(new)), [len(x) for x in runs])
-                        base = len(number)
-                        known[base : base + len(new)] = 0
-                        np.add.at(known, (base + owner, slice(0, len(languages))), flat)
-                        np.add.at(known[:, -1], base + owner, 1)
-                        number.update(zip(new, range(base, base + len(new)), strict=True))
-                    total += known[np.fromiter(map(number.__getitem__, part), np.int64, len(part))].sum(axis=0)
+def _predictor(languages: list[str], theta: np.ndarray, vocabulary: str):
+    """A function from an Arrow array of texts to (language, score, letter words) lists, with its own caches."""
+    number: dict[bytes, int] = {}  # words as written
+    known = np.zeros((CACHED_WORDS, len(languages) + 1))
+    run_number: dict[str, int] = {}  # letter runs
+    run_known = np.zeros((CACHED_RUNS, len(languages)))
+
+    def learn(words: list[bytes]) -> None:
+        runs = [_words(w.decode()) for w in words]
+        new = list({r for x in runs for r in x if r not in run_number})
+        if len(run_number) + len(new) > CACHED_RUNS:
+            run_number.clear()
+            new = list({r for x in runs for r in x})
+        if new:
+            run_known[len(run_number) : len(run_number) + len(new)] = log_probabilities(new, vocabulary, theta)
+            run_number.update(zip(new, range(len(run_number), len(run_number) + len(new)), strict=True))
+        base = len(number)
+        known[base : base + len(words)] = 0
+        owner = np.repeat(np.arange(base, base + len(words)), [len(x) for x in runs])
+        np.add.at(known, (owner, slice(0, len(languages))), run_known[[run_number[r] for x in runs for r in x]])
+        np.add.at(known[:, -1], owner, 1)
+        number.update(zip(words, range(base, base + len(words)), strict=True))
+
+    def totals(texts: list[bytes]):
+        """Summed word vectors of some texts, whose new words are learned together."""
+        parts = [text.split() for text in texts]
+        for words in parts:
+            total = np.zeros(len(languages) + 1)
+            for lo in range(0, len(words), PART_WORDS):
+                part = words[lo : lo + PART_WORDS]
+                try:
+                    at = np.fromiter(map(number.__getitem__, part), np.int64, len(part))
+                except KeyError:
+                    near = set(part).union(*parts) if lo == 0 and sum(map(len, parts)) <= CACHED_WORDS // 2 else set(part)
+                    new = [w for w in near if w not in number]
+                    if len(number) + len(new) > CACHED_WORDS:
+                        number.clear()
+                        new = list(near)
+                    learn(new)
+                    at = np.fromiter(map(number.__getitem__, part), np.int64, len(part))
+                total += known[at].sum(axis=0)
+            yield total
+
+    def predicted(texts: pa.Array):
+        best, score, lettered = [], [], []
+
+        def judge(some: list[bytes]) -> None:
+            for total in totals(some):
                 words = int(round(total[-1]))
                 lettered.append(words)
                 if not words or not languages:
-                    best.append("und")
+                    best.append(UNDETERMINED)
                     score.append(0.0)
                 else:
                     gap = np.exp(np.maximum(total[:-1] - total[:-1].max(), -700))
                     top = int(gap.argmax())
                     best.append(languages[top])
                     score.append(float(gap[top] / gap.sum()))
+
+        some, size = [], 0
+        for text in pc.cast(pc.fill_null(texts, ""), pa.binary()):
+            some.append(text.as_py())
+            size += len(some[-1])
+            if size >= TEXT_BYTES:
+                judge(some)
+                some, size = [], 0
+        judge(some)
+        return best, score, lettered
+
+    return predicted
+
+
+def predict(texts: DataFrame, languages: list[str], theta: np.ndarray, vocabulary: str) -> DataFrame:
+    """(doc_id, lang_pred, score, n_letter_words) for rows (doc_id, text). Map-only over whole texts."""
+    model = texts.sparkSession.sparkContext.broadcast(theta)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        predicted = _predictor(languages, model.value, vocabulary)
+        for batch in batches:
+            best, score, lettered = predicted(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(lettered, pa.int64())], names=["doc_id", "lang_pred", "score", "n_letter_words"])
 
     return texts.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, n_letter_words long")
 
 
+def relabelled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None) -> DataFrame:
+    """``df`` with each row's language replaced by the predicted one, rows without a language dropped. Map-only after
+    the learning, so no text is joined or shuffled; other columns stay."""
+    path = vocabulary or default_vocabulary()
+    languages, theta = train(_labelled(only(df, doc_id=id_col, text=text_col, lang=lang_col)), path)
+    model = df.sparkSession.sparkContext.broadcast(theta)
+    names = [f.name for f in df.schema.fields]
+    text_at, lang_at = names.index(text_col), names.index(lang_col)
+
+    def run(batches):
+        predicted = _predictor(languages, model.value, path)
+        for batch in batches:
+            best = pa.array(predicted(batch.column(text_at))[0], pa.string())
+            yield batch.set_column(lang_at, batch.schema.field(lang_at), best.cast(batch.schema.field(lang_at).type)).filter(pc.not_equal(best, UNDETERMINED))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Ids that are never learned from: crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+
+
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None) -> DataFrame:
     """Learn from the labelled rows that aren't held out, then predict every row."""
     path = vocabulary or default_vocabulary()
     rows = only(df, doc_id=id_col, text=text_col, lang=lang_col)
-    labelled = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    languages, theta = train(labelled, path)
+    languages, theta = train(_labelled(rows), path)
     return predict(rows.select("doc_id", "text"), languages, theta, path).withColumn("held_out", held_out(F.col("doc_id")))
