@@ -37,7 +37,12 @@ CAPACITY = 4096
 END_ID = 1
 GROUPS = 24
 LARGE_SHARE = 8
-CACHED_WORDS = 300_000
+#: Bounds of a Python worker's caches; they are emptied when full.
+CACHED_WORDS = 500_000
+CACHED_RUNS = 1_400_000
+TEXT_BYTES = 1 << 18
+#: Signs that the vocabulary's pre-tokeniser never splits from one another nor joins to letters.
+PUNCTUATION = ".,;:!?%&$#*|"
 ROWS_PER_RANK_GROUP = 50_000
 BROADCAST_PLAN_ROWS = 200_000
 
@@ -50,33 +55,73 @@ def default_vocabulary() -> str:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """(encode missing words, cache of word bytes -> little-endian unsigned 32-bit ids), one per Python worker."""
+    """The tokenizer and two caches of ids (little-endian unsigned 32-bit), one set per Python worker:
+    by word as written, and by letter run in lower case or punctuation run."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    return Tokenizer.from_file(path), {}, {}
 
 
-def token_bytes(text: bytes, path: str) -> bytes:
-    """The ids of a text, four bytes each.
+def _encoded(tokenizer, words: list[str]) -> list[bytes]:
+    return [np.array(found.ids, "<u4").tobytes() for found in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def _learn(tokenizer, by_word: dict[bytes, bytes], by_run: dict[str, bytes], words: list[bytes]) -> None:
+    """Fill the word cache. A letter run followed by plain punctuation is two pre-tokens of this vocabulary, and
+    letters are folded before they are looked up, so most new words are made of known runs; the rest (mixed signs,
+    digits, apostrophes, capitals whose folding depends on context) are encoded as they stand."""
+    plain, whole = [], []
+    for word in words:
+        text = word.decode()
+        run = text.rstrip(PUNCTUATION)
+        folded = run.lower()
+        if folded.isalpha() and len(folded) == len(run) and "Σ" not in run:
+            plain.append((word, folded, text[len(run) :]))
+        else:
+            whole.append((word, text))
+    wanted = {run for _, a, b in plain for run in (a, b) if run and run not in by_run}
+    if len(by_run) + len(wanted) > CACHED_RUNS:
+        by_run.clear()
+        wanted = {run for _, a, b in plain for run in (a, b) if run}
+    runs = list(wanted)
+    by_run.update(zip(runs, _encoded(tokenizer, runs), strict=True))
+    by_run[""] = b""
+    for word, a, b in plain:
+        by_word[word] = by_run[a] + by_run[b]
+    by_word.update(zip([w for w, _ in whole], _encoded(tokenizer, [t for _, t in whole]), strict=True))
+
+
+def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
+    """The ids of texts, four bytes each.
 
     The vocabulary's normaliser and pre-tokeniser never look across white space, so the ids of a text are those
-    of its words; frequent words are encoded once per worker.
+    of its words; frequent words are encoded once per worker, and new words of several texts together.
     """
-    tokenizer, cache = _encoder(path)
-    words = text.split()
-    missing = [w for w in set(words) if w not in cache]
+    tokenizer, by_word, by_run = _encoder(path)
+    words = [text.split() for text in texts]
+    seen = set().union(*words)
+    missing = [w for w in seen if w not in by_word]
     if missing:
-        if len(cache) + len(missing) > CACHED_WORDS:
-            cache.clear()
-            missing = list(set(words))
-        for k in range(0, len(missing), 10_000):
-            part = missing[k : k + 10_000]
-            for word, found in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                cache[word] = np.array(found.ids, "<u4").tobytes()
-    return b"".join(map(cache.__getitem__, words))
+        if len(by_word) + len(missing) > max(CACHED_WORDS, len(seen)):
+            by_word.clear()
+            missing = list(seen)
+        _learn(tokenizer, by_word, by_run, missing)
+    return [b"".join(map(by_word.__getitem__, w)) for w in words]
+
+
+def _token_batches(texts: pa.Array, path: str):
+    """token_bytes over an Arrow array, some TEXT_BYTES of text (or one longer text) at a time."""
+    some, size = [], 0
+    for text in pc.cast(pc.fill_null(texts, ""), pa.binary()):
+        some.append(text.as_py())
+        size += len(some[-1])
+        if size >= TEXT_BYTES:
+            yield from token_bytes(some, path)
+            some, size = [], 0
+    yield from token_bytes(some, path)
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -88,10 +133,9 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     def run(batches):
         for batch in batches:
-            texts = pc.cast(pc.fill_null(batch.column("text"), ""), pa.binary())
             rows, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(texts):
-                ids = token_bytes(text.as_py(), path) + end
+            for row, ids in enumerate(_token_batches(batch.column("text"), path)):
+                ids += end
                 for number, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append(row)
