@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.config import DEFAULTS, Settings
+from docloom.functions import text as T
 from docloom.functions.text import SEQUENCE_QUESTION, normal_form, numbered_items, sequence_score, terms, trim
 from docloom.functions.vectors import bm25_weight, dot, idf, norm
 
@@ -20,16 +21,23 @@ BROADCAST_ROWS = 200_000
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint, given only when a count shows that the side is small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """A side that is proven small is computed once and broadcast; a larger one is returned as it is."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
 
 
 def postings(texts: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, weight): one row per distinct term of a text. Term counts are made inside each row, so nothing is
-    shuffled before the index itself is clustered."""
+    """(id, term, tf, weight, n_terms): one row per distinct term of a text. Terms are sorted and counted inside their row,
+    so nothing is shuffled before the index itself is clustered."""
+
+    def counted(t: Column) -> Column:
+        starts = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+        return T.let(starts, lambda s: F.transform(s, lambda p, k: F.struct(F.get(t, p).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t)) - p).cast("long").alias("tf"))))
+
     listed = texts.select(id_col, terms(F.col(text_col)).alias("_t")).where(F.size("_t") > 0)
-    counted = listed.select(id_col, F.size("_t").alias("_n"), F.explode("_t").alias("term")).groupBy(id_col, "_n", "term").agg(F.count("*").alias("tf"))
-    return counted.select(id_col, "term", "tf", bm25_weight(F.col("tf"), F.col("_n")).alias("weight"))
+    rows = listed.select(id_col, F.size("_t").alias("_n"), T.let(F.array_sort("_t"), counted).alias("_c"))
+    each = rows.select(id_col, "_n", F.size("_c").alias("n_terms"), F.explode("_c").alias("c"))
+    return each.select(id_col, F.col("c.term").alias("term"), F.col("c.tf").alias("tf"), bm25_weight(F.col("c.tf"), F.col("_n")).alias("weight"), "n_terms")
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
@@ -41,12 +49,27 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return postings(questions, "query_id", "question").select("query_id", "term", F.col("weight").alias("query_weight"))
 
 
-def sparse_scores(questions: DataFrame, posted: DataFrame, stats: DataFrame, n_documents: int) -> DataFrame:
-    """(query_id, chunk_id, score) of every chunk that shares a term; idf is taken over the whole collection, not a scope.
+def asked_terms(questions: DataFrame, posted: DataFrame, n_documents: int) -> DataFrame:
+    """(query_id, term, query_weight, idf) of the questions' terms. Document frequencies are counted over the whole
+    collection, but only for these terms."""
+    mine = question_terms(questions)
+    stats = term_stats(posted.join(small(mine.select("term").distinct()), "term"))
+    return small(mine.join(stats, "term").select("query_id", "term", "query_weight", idf(F.lit(n_documents), F.col("df")).alias("idf")))
+
+
+def matched(questions: DataFrame, posted: DataFrame, n_documents: int) -> DataFrame:
+    """Postings that meet a question's term: the scan is filtered by a broadcast join, and only these rows move on."""
+    return posted.join(asked_terms(questions, posted, n_documents), "term")
+
+
+def sparse_scores(questions: DataFrame, posted: DataFrame, n_documents: int) -> DataFrame:
+    """(query_id, chunk_id, score) of every chunk that shares a term; idf is taken over the whole collection, not a scope."""
+    return matched(questions, posted, n_documents).groupBy("query_id", "chunk_id").agg(bm25_score().alias("score"))
+
 
-    Only the questions' terms leave the postings scan, by a join with the (counted, then broadcast) question terms."""
-    asked = small(question_terms(questions).join(stats, "term").select("query_id", "term", (F.col("query_weight") * idf(F.lit(n_documents), F.col("df"))).alias("_w")))
-    return posted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("_w")), 6).alias("score"))
+def bm25_score() -> Column:
+    """The aggregate over ``matched`` rows of a question and a chunk."""
+    return F.round(F.sum(F.col("weight") * (F.col("query_weight") * F.col("idf"))), 6)
 
 
 def dense_scores(questions: DataFrame, vectors: DataFrame, query_col: str = "vector", dense_col: str = "dense") -> DataFrame:

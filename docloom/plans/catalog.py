@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.operators import answers, layout, retrieval, structure, tables
 from docloom.sources import store
+from docloom.sources.scratch import folder, materialised
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -212,19 +215,14 @@ def _questions(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-def overlap_scores(questions: DataFrame, posted: DataFrame) -> DataFrame:
-    """A second ranking without vectors: shared distinct terms over the root of a chunk's distinct terms."""
-    asked = retrieval.small(retrieval.question_terms(questions).select("query_id", "term"))
-    sizes = F.count("*").over(Window.partitionBy("chunk_id"))
-    return posted.select("chunk_id", "term", sizes.alias("_n")).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.count("*") / F.sqrt(F.first("_n").cast("double")), 6).alias("score"))
-
-
 def _rankings(spark, sf_dir):
+    """(chunks, BM25 scores, overlap scores). The second ranking needs no vectors: shared distinct terms over the root of a
+    chunk's distinct terms. Both come from one pass over the matched postings, kept for the phases that follow."""
     chunks = _line_chunks(spark, sf_dir)
-    posted = retrieval.postings(chunks)
-    questions = _questions(spark, sf_dir)
-    sparse = retrieval.sparse_scores(questions, posted, retrieval.term_stats(posted), chunks.count())
-    return chunks, sparse, overlap_scores(questions, posted)
+    rows = retrieval.matched(_questions(spark, sf_dir), retrieval.postings(chunks), chunks.count())
+    overlap = F.round(F.count("*") / F.sqrt(F.first("n_terms").cast("double")), 6)
+    scores = materialised(rows.groupBy("query_id", "chunk_id").agg(retrieval.bm25_score().alias("sparse"), overlap.alias("overlap")), "scores")
+    return chunks, scores.select("query_id", "chunk_id", F.col("sparse").alias("score")), scores.select("query_id", "chunk_id", F.col("overlap").alias("score"))
 
 
 def _of_file(scores: DataFrame) -> DataFrame:
@@ -566,11 +564,7 @@ def chat_labels(spark, sf_dir):
 
 
 def _store(spark, name):
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='docloom-')}/docloom-store/{name}-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/docloom-store/{name}-{uuid.uuid4().hex}"
 
 
 @query("select source as chat_id, doc_id, case when doc_id % 3 = 0 then 'new' else 'old' end as version from documents union all select 'added', -1, 'new'")
