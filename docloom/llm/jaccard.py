@@ -2,18 +2,19 @@
 
 Sets are the distinct five-word shingles of a text. Equal sets are one node. A global order puts frequent
 shingles last (their document counts are taken over all texts), and a pair at or above the threshold must share
-a shingle among the first ``n - ceil(t * n) + 1`` of each set, so only these prefixes are indexed.
+``COMMON`` shingles among the first ``n - ceil(t * n) + COMMON`` of each set (all of the fewer that tiny sets need),
+so only these prefixes are indexed and pairs that meet less often are never looked at.
 
 Index-level skipping: each inverted list is ordered by set size and cut where sizes can't match any more; an
 entry's position in its set bounds the overlap that is still possible, and blocks of entries whose position is
 too late for a partner are skipped without a look at the sets.
 
-Answer-level skipping: in a long list few leading sets are compared with all others first. Members that
-turn out highly similar to a leader share its component, and the leader's computed similarities bound those of
-any two members (Jaccard distance obeys the triangle inequality), so a member's answers are derived from the
-leader's and only pairs that stay open are looked at.
+Answer-level skipping: in a long list few leading sets are compared with all others first. Members that turn out
+similar to a leader share its component and need no answers of their own. The long lists of one leader are a family
+of sets that are alike; the answers of those left outside are derived for the family at once from the shingles that its
+members share, and only links that join components are kept.
 
-Every open pair is verified on the whole sets. Components come from alternating star contractions.
+Every pair and every family is decided on whole sets.
 
 Null, empty and wordless texts have the empty set and link with nothing; texts of fewer words than a shingle
 are one whole-text shingle. Repeated rows and equal texts share a component. Empty table: empty result.
@@ -35,12 +36,20 @@ from ._words import SHINGLE, chunks, mixed, shingle_sets
 
 THRESHOLD = Fraction(3, 4)
 #: Shingles in at least so many texts are ordered last, the more frequent the later.
-FREQUENT = 32
+FREQUENT = 8
 #: Most frequent shingles whose order every task knows: 9 bytes each. Any order is exact; this bounds memory.
 ORDERED_AT_MOST = 4_000_000
+#: Shingles that the prefixes of a pair must share.
+COMMON = 4
 #: Lists up to this length are compared at once, longer ones by leaders first.
-SHORT_LIST = 4
+SHORT_LIST = 16
 LEADERS = 3
+#: Members of a family that one task holds at most (two blocks), and the rows and columns of its products.
+FAMILY_BLOCK = 4096
+ROW_BLOCK = 512
+COLUMN_BLOCK = 2048
+#: Edges that one task unites; more are contracted by all executors.
+LOCAL_EDGES = 1_000_000
 #: Node numbers that are broadcast to select texts: 8 bytes each; a shuffle join takes over beyond.
 BROADCAST_NODES = 4_000_000
 
@@ -110,7 +119,7 @@ def frequent_shingles(texts: DataFrame, n: int = SHINGLE) -> tuple[np.ndarray, n
 
 
 def _prefix_length(n: int, t: Fraction) -> int:
-    return n - ceil(t * n) + 1
+    return min(n, n - ceil(t * n) + COMMON)
 
 
 def set_table(texts: DataFrame, n: int = SHINGLE, t: Fraction = THRESHOLD) -> DataFrame:
@@ -157,15 +166,17 @@ def _open_pairs(node, size, place, run, t: Fraction, reach: int):
         if not len(same):
             break
         small, large = size[same], size[same + d]
-        left = np.minimum(small - place[same], large - place[same + d])  # of the shared shingle and all behind it
+        left = np.minimum(small - place[same], large - place[same + d]) + COMMON - 1  # of a needed shingle and all behind it
         keep = (den * small >= num * large) & (left * (den + num) >= num * (small + large)) & (node[same] != node[same + d])
         same = same[keep]
-        found.append(np.stack([np.minimum(node[same], node[same + d]), np.maximum(node[same], node[same + d])]))
+        need = np.minimum(COMMON, -(-num * size[same + d] // den))
+        found.append(np.stack([np.minimum(node[same], node[same + d]), np.maximum(node[same], node[same + d]), need]))
     return found
 
 
 def _candidates(reps: DataFrame, t: Fraction) -> DataFrame:
-    """Rows (a, b, members): an open pair, or a long list (a is its number) to come back to."""
+    """Rows (a, b, met, need, members): a pair that met in some lists and how often it must meet in all (0: a leader's
+    pair), or a long list (a is its number) to come back to."""
     parts = _parts(reps.sparkSession)
 
     def scatter(batches):
@@ -222,18 +233,22 @@ def _candidates(reps: DataFrame, t: Fraction) -> DataFrame:
                 seen.add(name)
                 for leader in _leaders(list_nodes):
                     others = list_nodes[list_nodes != leader]
-                    found.append(np.stack([np.minimum(leader, others), np.maximum(leader, others)]))
+                    found.append(np.stack([np.minimum(leader, others), np.maximum(leader, others), np.zeros(len(others), np.int64)]))
                 a.append(name)
                 b.append(None)
                 members.append(list_nodes.tobytes())
             if found:
-                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield _pair_batch(pairs[0], pairs[1])
+                pairs = np.concatenate(found, axis=1)
+                pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+                first_of = np.flatnonzero(np.r_[True, (pairs[0, 1:] != pairs[0, :-1]) | (pairs[1, 1:] != pairs[1, :-1])]) if pairs.shape[1] else np.zeros(0, np.int64)
+                met = np.diff(np.r_[first_of, pairs.shape[1]])
+                need = np.minimum.reduceat(pairs[2], first_of) if len(first_of) else pairs[2]
+                yield _pair_batch(pairs[0, first_of], pairs[1, first_of], met, need)
             for k in range(0, len(a), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 64], pa.int64()), pa.array(b[k : k + 64], pa.int64()), pa.array(members[k : k + 64], pa.binary())], names=["a", "b", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 64], pa.int64()), pa.array(b[k : k + 64], pa.int64()), pa.nulls(len(a[k : k + 64]), pa.int64()), pa.nulls(len(a[k : k + 64]), pa.int64()), pa.array(members[k : k + 64], pa.binary())], names=["a", "b", "met", "need", "members"])
 
     scattered = reps.mapInArrow(scatter, "part int, nodes binary, sizes binary, owner binary, place binary, low binary")
-    return scattered.repartition(parts, "part").mapInArrow(meet, "a long, b long, members binary")
+    return scattered.repartition(parts, "part").mapInArrow(meet, "a long, b long, met long, need long, members binary")
 
 
 def _leaders(nodes: np.ndarray) -> list[int]:
@@ -241,8 +256,8 @@ def _leaders(nodes: np.ndarray) -> list[int]:
     return sorted({int(nodes[np.argmin(mixed(nodes.astype(np.uint64) + _U(k)))]) for k in range(LEADERS)})
 
 
-def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.binary())], names=["a", "b", "members"])
+def _pair_batch(a: np.ndarray, b: np.ndarray, met: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(met, pa.int64()), pa.array(need, pa.int64()), pa.nulls(len(a), pa.binary())], names=["a", "b", "met", "need", "members"])
 
 
 def _whole_sets(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -259,26 +274,52 @@ def _whole_sets(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return texts.join(wanted, "doc_id", "left_semi").mapInArrow(run, "node long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """(a, b, common, total) of the pairs, from the whole sets."""
+def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, common, total) of the pairs, and (node, shingles) of their nodes: the whole sets."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = staged(_whole_sets(texts, staged(reps.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted"), n).dropDuplicates(["node"]), "whole-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), (F.size("x") + F.size("y")).cast("long").alias("both"))
-    return staged(common.select("a", "b", "common", (F.col("both") - F.col("common")).alias("total")), "verified")
+    return staged(common.select("a", "b", "common", (F.col("both") - F.col("common")).alias("total")), "verified"), sets
 
 
 def _linked(verified: DataFrame, t: Fraction) -> DataFrame:
     return verified.where(F.col("common") * t.denominator >= F.col("total") * t.numerator).select("a", "b")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of an undirected graph: alternating large-star and small-star contractions.
+def _united(batches):
+    """(node, component) of a bounded edge table by union-find in one task."""
+    parent: dict[int, int] = {}
 
-    Each round works on the edge table in the shared folder; a hub's neighbours meet only through a minimum, which
-    is combined before the shuffle, and one join.
+    def root(x: int) -> int:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    for lo in range(0, len(nodes), 100_000):
+        part = nodes[lo : lo + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["node", "component"])
+
+
+def components(edges: DataFrame, rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, component) of an undirected graph, component being its least node.
+
+    Up to ``local_edges`` edges, counted first, are united in one task of bounded memory. Larger graphs go by alternating
+    large-star and small-star contractions: each round works on the edge table in the shared folder; a hub's
+    neighbours meet only through a minimum, which is combined before the shuffle, and one join.
     """
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if edges.count() <= local_edges:
+        return edges.coalesce(1).mapInArrow(_united, "node long, component long")
     sign = None
     for _ in range(rounds):
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -296,40 +337,73 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def _still_open(lists: DataFrame, found: DataFrame, verified: DataFrame, reps: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs of long lists that lie in different components and that no leader's answers rule out."""
-    num, den = t.numerator, t.denominator
+def _families(lists: DataFrame) -> DataFrame:
+    """(lead, node): long lists that have their first leader in common, as one set of nodes. Every member was compared
+    with the leader."""
 
     def spread(batches):
         for batch in batches:
-            for name, members in zip(batch.column("a").to_pylist(), batch.column("members").to_pylist(), strict=True):
+            for members in batch.column("members").to_pylist():
                 nodes = np.frombuffer(members, np.int64)
-                lead = _leaders(nodes)[0]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(nodes), pa.int64()), pa.array(nodes, pa.int64()), pa.array(np.minimum(nodes, lead)), pa.array(np.maximum(nodes, lead))], names=["list", "node", "a", "b"])
-
-    rows = lists.mapInArrow(spread, "list long, node long, a long, b long")
-    rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_lists = rows.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-    rows = rows.join(mixed_lists, "list", "left_semi").join(verified, ["a", "b"], "left").join(reps.select("node", "n_shingles"), "node")
-    near = F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.col("common") / F.col("total"))
-    rows = rows.select("list", "node", "component", near.alias("near"), "n_shingles")
-
-    def pairs(key, table):
-        node, part, near, size = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "near", "n_shingles"))
-        order = np.argsort(size, kind="stable")
-        node, part, near, size = node[order], part[order], near[order].astype(float), size[order]
-        out = []
-        for i in range(len(node) - 1):
-            stop = int(np.searchsorted(size, size[i] * den // num, side="right"))
-            some = np.arange(i + 1, max(stop, i + 1))
-            far = np.abs(near[some] - near[i])  # of two distances to the leader
-            some = some[(part[some] != part[i]) & ~(far > 1 - float(t) + 1e-9)]
-            if len(some):
-                out.append(np.stack([np.minimum(node[i], node[some]), np.maximum(node[i], node[some])]))
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), _leaders(nodes)[0]), pa.int64()), pa.array(nodes, pa.int64())], names=["lead", "node"])
+
+    return lists.select("members").mapInArrow(spread, "lead long, node long").distinct()
 
-    return rows.groupBy("list").applyInArrow(pairs, "a long, b long").distinct().join(verified, ["a", "b"], "left_anti")
+
+def _family_links(families: DataFrame, found: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b): links that join the components of a family, a spanning forest of them at most.
+
+    A family's members are alike, so their answers are derived together: the shingles that members share become columns,
+    and overlaps are products of membership rows, a block of rows and columns at a time. Only members outside the
+    family's largest component need answers. Families above FAMILY_BLOCK members are cut into blocks by hash, one
+    task for each pair of blocks, which bounds a task's memory.
+    """
+    num, den = t.numerator, t.denominator
+    rows = families.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = rows.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
+    blocks = F.ceil(F.col("k") / FAMILY_BLOCK).cast("int")
+    rows = rows.join(split.select("lead", blocks.alias("blocks")), "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("lead", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def links(key, table):
+        node, part = table.column("node").to_numpy(), table.column("component").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy().astype(np.int64))
+        owner = np.repeat(np.arange(len(node)), size)
+        _, column, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+        width = int((times > 1).sum())
+        kinds, kind = np.unique(part, return_inverse=True)
+        parent = np.arange(len(kinds))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        out = []
+        rest = np.flatnonzero(kind != np.bincount(kind).argmax())
+        for lo in range(0, len(rest), ROW_BLOCK):
+            some = rest[lo : lo + ROW_BLOCK]
+            common = np.zeros((len(some), len(node)), dtype=np.float32)
+            for first in range(0, width, COLUMN_BLOCK):
+                mine = (column >= first) & (column < first + COLUMN_BLOCK)
+                member = np.zeros((len(node), min(COLUMN_BLOCK, width - first)), dtype=np.float32)
+                member[owner[mine], column[mine] - first] = 1
+                common += member[some] @ member.T
+            linked = common.astype(np.int64) * (den + num) >= num * (size[some][:, None] + size[None, :])
+            linked &= (common > 0) & (kind[some][:, None] != kind[None, :])
+            for r, row in zip(some, linked, strict=True):
+                at = np.flatnonzero(row)
+                for c in at[np.unique(kind[at], return_index=True)[1]]:
+                    x, y = root(kind[r]), root(kind[c])
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        out.append((min(node[r], node[c]), max(node[r], node[c])))
+        return pa.table({"a": pa.array([int(x) for x, _ in out], pa.int64()), "b": pa.array([int(y) for _, y in out], pa.int64())})
+
+    return dealt.join(sets, "node").groupBy("lead", "i", "j").applyInArrow(links, "a long, b long")
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, t: Fraction = THRESHOLD) -> DataFrame:
@@ -340,16 +414,14 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         sets.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("r")).select("node", "r.*"), "nodes"
     )
     met = staged(_candidates(reps, t), "candidates")
-    pairs = met.where("b is not null").select("a", "b").distinct()
+    pairs = met.where("b is not null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
     lists = met.where("b is null").dropDuplicates(["a"])
-    verified = _verified(pairs, texts, reps, n)
-    found = components(_linked(verified, t))
+    verified, sets_of_pairs = _verified(pairs, texts, reps, n)
+    linked = _linked(verified, t)
+    found = components(linked)
     if not lists.isEmpty():
-        found = staged(found, "components")
-        more = staged(_still_open(lists, found, verified, reps, t), "open")
-        if not more.isEmpty():
-            verified = verified.union(_verified(more, texts, reps, n))
-            found = components(_linked(verified, t))
+        more = staged(_family_links(_families(lists), staged(found, "components"), sets_of_pairs, t), "family-links")
+        found = components(linked.union(more)) if not more.isEmpty() else found
     labels = reps.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(least, "component").select("node", "component_id")
