@@ -127,16 +127,14 @@ def two_phase_search(sparse: DataFrame, dense: DataFrame, chunks: DataFrame, top
     phase 2 ranks within each (question, selected file), fuses, drops weak hits and repeated texts. Texts join last, for
     the candidates only.
     """
-    lists = [dense, sparse]
-    broad = fused([ranked(s, settings.broad_search_top_k) for s in lists], k=settings.rrf_k)
-    paths = lists[0].select("query_id", "chunk_id", "file_path").union(lists[1].select("query_id", "chunk_id", "file_path"))
-    broad = broad.join(paths.dropDuplicates(["query_id", "chunk_id"]), ["query_id", "chunk_id"])
-    sources = select_sources(broad, settings)
+    lists, keys = [dense, sparse], ("query_id", "file_path")
+    broad = fused([ranked(s, settings.broad_search_top_k) for s in lists], keys, settings.rrf_k)  # a chunk has one file
+    sources = small(select_sources(broad, settings))
     limit = max(3 * top_k, settings.broad_search_top_k)
-    again = [ranked(s.join(sources.select("query_id", "file_path"), ["query_id", "file_path"]), limit, ("query_id", "file_path")) for s in lists]
-    found = fused(again, ("query_id", "file_path"), settings.rrf_k).join(sources, ["query_id", "file_path"]).where(F.col("rrf") >= settings.search_rrf_threshold)
+    again = [ranked(s.join(sources.select(*keys), list(keys)), limit, keys) for s in lists]
+    found = small(fused(again, keys, settings.rrf_k).join(sources, list(keys)).where(F.col("rrf") >= settings.search_rrf_threshold))
     order = [F.desc("rrf"), F.desc("best"), F.col("file_path"), F.col("chunk_id")]
-    with_text = found.join(chunks.select("chunk_id", "text"), "chunk_id")
+    with_text = chunks.select("chunk_id", "text").join(found, "chunk_id")  # candidates go to the texts, not texts to them
     first = keep_first_text(with_text, ["query_id"], order, trim(F.coalesce(F.col("text"), F.lit(""))))
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return first.withColumn("pos", pos.cast("long")).where(F.col("pos") <= top_k).select("query_id", "chunk_id", "file_path", "text", "rrf", "pos")
