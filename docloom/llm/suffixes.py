@@ -142,7 +142,8 @@ def _stretches(batches):
         for (gram, part, before), places in kept.items():
             rows.append((gram, places[0][0], places[0][1], before, part, places[0][2]))
             if len(places) > 1:
-                rows += [(gram, key, a, before, None, z) for key, a, z in places]
+                # finished runs need no bucket: they are dealt out by their text
+                rows += [(int.from_bytes(key[:8], "little", signed=True), key, a, before, None, z) for key, a, z in places]
         for lo in range(0, len(rows), 20_000):
             columns = list(zip(*rows[lo : lo + 20_000], strict=True))
             kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
