@@ -35,7 +35,7 @@ def postings(texts: DataFrame, id_col: str = "chunk_id", text_col: str = "text")
         return T.let(starts, lambda s: F.transform(s, lambda p, k: F.struct(F.get(t, p).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t)) - p).cast("long").alias("tf"))))
 
     listed = texts.select(id_col, terms(F.col(text_col)).alias("_t")).where(F.size("_t") > 0)
-    rows = listed.select(id_col, F.size("_t").alias("_n"), T.let(F.array_sort("_t"), counted).alias("_c"))
+    rows = listed.select(id_col, F.size("_t").alias("_n"), T.let(F.sort_array("_t"), counted).alias("_c"))
     each = rows.select(id_col, "_n", F.size("_c").alias("n_terms"), F.explode("_c").alias("c"))
     return each.select(id_col, F.col("c.term").alias("term"), F.col("c.tf").alias("tf"), bm25_weight(F.col("c.tf"), F.col("_n")).alias("weight"), "n_terms")
 
@@ -44,21 +44,36 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def text_term_stats(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df) straight from texts; counts combine before the only shuffle."""
+    return texts.select(F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def question_terms(questions: DataFrame) -> DataFrame:
     """(query_id, term, weight): questions go through the texts' encoder, so repeated terms saturate."""
     return postings(questions, "query_id", "question").select("query_id", "term", F.col("weight").alias("query_weight"))
 
 
+def postings_of(questions: DataFrame, texts: DataFrame) -> DataFrame:
+    """The postings of the questions' terms only, straight from the texts: a broadcast join drops all other terms before
+    anything is counted or moved."""
+    wanted = small(question_terms(questions).select("term").distinct())
+    listed = texts.select("chunk_id", terms(F.col("text")).alias("_t")).where(F.size("_t") > 0)
+    each = listed.select("chunk_id", F.size("_t").alias("_n"), F.size(F.array_distinct("_t")).alias("n_terms"), F.explode("_t").alias("term")).join(wanted, "term")
+    counted = each.groupBy("chunk_id", "_n", "n_terms", "term").agg(F.count("*").alias("tf"))
+    return counted.select("chunk_id", "term", "tf", bm25_weight(F.col("tf"), F.col("_n")).alias("weight"), "n_terms")
+
+
 def asked_terms(questions: DataFrame, posted: DataFrame, n_documents: int) -> DataFrame:
     """(query_id, term, query_weight, idf) of the questions' terms. Document frequencies are counted over the whole
-    collection, but only for these terms."""
+    collection; ``posted`` may hold all postings or those of the questions."""
     mine = question_terms(questions)
     stats = term_stats(posted.join(small(mine.select("term").distinct()), "term"))
     return small(mine.join(stats, "term").select("query_id", "term", "query_weight", idf(F.lit(n_documents), F.col("df")).alias("idf")))
 
 
 def matched(questions: DataFrame, posted: DataFrame, n_documents: int) -> DataFrame:
-    """Postings that meet a question's term: the scan is filtered by a broadcast join, and only these rows move on."""
+    """Postings that meet a question's term, with the question's weights."""
     return posted.join(asked_terms(questions, posted, n_documents), "term")
 
 

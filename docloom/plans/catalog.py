@@ -219,7 +219,8 @@ def _rankings(spark, sf_dir):
     """(chunks, BM25 scores, overlap scores). The second ranking needs no vectors: shared distinct terms over the root of a
     chunk's distinct terms. Both come from one pass over the matched postings, kept for the phases that follow."""
     chunks = _line_chunks(spark, sf_dir)
-    rows = retrieval.matched(_questions(spark, sf_dir), retrieval.postings(chunks), chunks.count())
+    questions = _questions(spark, sf_dir)
+    rows = retrieval.matched(questions, materialised(retrieval.postings_of(questions, chunks), "postings"), chunks.count())
     overlap = F.round(F.count("*") / F.sqrt(F.first("n_terms").cast("double")), 6)
     scores = materialised(rows.groupBy("query_id", "chunk_id").agg(retrieval.bm25_score().alias("sparse"), overlap.alias("overlap")), "scores")
     return chunks, scores.select("query_id", "chunk_id", F.col("sparse").alias("score")), scores.select("query_id", "chunk_id", F.col("overlap").alias("score"))
@@ -231,7 +232,7 @@ def _of_file(scores: DataFrame) -> DataFrame:
 
 @query(f"with {CHUNKS_SQL} select term, df::bigint as df from st")
 def bm25_term_stats(spark, sf_dir):
-    return retrieval.term_stats(retrieval.postings(_line_chunks(spark, sf_dir))).select("term", "df")
+    return retrieval.text_term_stats(_line_chunks(spark, sf_dir)).select("term", "df")
 
 
 @query(f"with {CHUNKS_SQL}, {SCORES_SQL} select query_id, chunk_id, score, r as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from sparse) where r <= 20")

@@ -228,3 +228,13 @@ def test_wrong_dimension(spark, shop):
     row = spark.createDataFrame([("x", [1.0])], "chunk_id string, dense array<float>").selectExpr("chunk_id", "dense", *[f"cast(null as {t}) as `{c}`" for c, t in pipeline.POINT_COLUMNS.items() if c not in ("chunk_id", "dense")])
     with pytest.raises(ValueError, match="expected 64"):
         shop.index_points(row)
+
+
+def test_postings_agree(spark):
+    texts = spark.createDataFrame([("a", "The cat, the dog. Über 12"), ("b", ""), ("c", "dog dog dog cat"), ("d", None)], "chunk_id string, text string")
+    got = {(r["chunk_id"], r["term"]): (r["tf"], r["n_terms"]) for r in retrieval.postings(texts).collect()}
+    assert got == {("a", "the"): (2, 5), ("a", "cat"): (1, 5), ("a", "dog"): (1, 5), ("a", "über"): (1, 5), ("a", "12"): (1, 5), ("c", "dog"): (3, 2), ("c", "cat"): (1, 2)}
+    questions = spark.createDataFrame([(1, "dog or bird")], "query_id int, question string")
+    some = {(r["chunk_id"], r["term"]): (r["tf"], r["n_terms"]) for r in retrieval.postings_of(questions, texts).collect()}
+    assert some == {k: v for k, v in got.items() if k[1] == "dog"}
+    assert {r["term"]: r["df"] for r in retrieval.text_term_stats(texts).collect()} == {r["term"]: r["df"] for r in retrieval.term_stats(retrieval.postings(texts)).collect()}
