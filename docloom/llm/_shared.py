@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -54,3 +56,26 @@ def selected(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return df.join(ids, F.col(f"`{column}`") == F.col("_wanted"), how)
+
+
+_held: dict = {}
+
+
+def worker_cache(owner: tuple, make):
+    """What an operator keeps between the tasks of a Python worker. A worker keeps one operator's cache at a time:
+    workers are reused, and several full caches would not fit an executor."""
+    if owner not in _held:
+        release_worker_cache()
+        _held[owner] = make()
+    return _held[owner]
+
+
+def release_worker_cache() -> None:
+    """Drop what another operator left in this worker, and give the memory back to the system."""
+    if _held:
+        _held.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own policy
+        pass

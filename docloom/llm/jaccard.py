@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import only, staged
+from ._shared import only, release_worker_cache, staged
 from ._words import SHINGLE, chunks, mixed, shingle_sets
 
 THRESHOLD = Fraction(3, 4)
@@ -53,6 +53,9 @@ LOCAL_EDGES = 1_000_000
 #: Node numbers that are broadcast to select texts: 8 bytes each; a shuffle join takes over beyond.
 BROADCAST_NODES = 4_000_000
 
+#: Shingles that a task holds before it sends them on.
+HELD_SHINGLES = 1_500_000
+
 _U = np.uint64
 
 
@@ -82,15 +85,25 @@ def frequent_shingles(texts: DataFrame, n: int = SHINGLE) -> tuple[np.ndarray, n
     parts = _parts(spark)
 
     def pack(batches):
+        release_worker_cache()
         for batch in batches:
-            found = [s for _, _, data, at in chunks(batch) for s in shingle_sets(data, at, n)]
-            if not found:
-                continue
-            keys = np.sort(_key(np.concatenate(found), parts))
-            cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << _U(32))
-            full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            low = (keys & _U(0xFFFFFFFF)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([low[cuts[p] : cuts[p + 1]].tobytes() for p in full], pa.binary())], names=["part", "low"])
+            found, size = [], 0
+            for _, _, data, at in chunks(batch):
+                for s in shingle_sets(data, at, n):
+                    found.append(s)
+                    size += len(s)
+                if size >= HELD_SHINGLES:
+                    yield from packed(found)
+                    found, size = [], 0
+            if size:
+                yield from packed(found)
+
+    def packed(found):
+        keys = np.sort(_key(np.concatenate(found), parts))
+        cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << _U(32))
+        full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+        low = (keys & _U(0xFFFFFFFF)).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([low[cuts[p] : cuts[p + 1]].tobytes() for p in full], pa.binary())], names=["part", "low"])
 
     def count(batches):
         held: dict[int, list[bytes]] = {}
@@ -265,9 +278,10 @@ def _whole_sets(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [(_node(s), s.astype(np.int64)) for _, _, data, at in chunks(batch) for s in shingle_sets(data, at, n) if len(s)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["node", "shingles"])
+            for _, _, data, at in chunks(batch):
+                found = [(_node(s), s.astype(np.int64)) for s in shingle_sets(data, at, n) if len(s)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     wanted = nodes.select("doc_id")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted

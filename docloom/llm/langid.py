@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import only, staged
+from ._shared import only, release_worker_cache, staged
 
 TRAIN_TEXTS = 1000
 ROUNDS = 3
@@ -30,8 +30,8 @@ LONGEST_PIECE = 8
 #: Training words longer than this are left out of the lattice statistics; prediction has no such bound.
 TRAIN_WORD = 40
 #: Bounds of a Python worker's caches; they are emptied when full. A text is read in parts of so many words.
-CACHED_WORDS = 300_000
-CACHED_RUNS = 700_000
+CACHED_WORDS = 250_000
+CACHED_RUNS = 500_000
 PART_WORDS = 50_000
 #: Texts whose new words are scored together.
 TEXT_BYTES = 1 << 19
@@ -217,6 +217,7 @@ def train(labelled: DataFrame, vocabulary: str, train_texts: int = TRAIN_TEXTS,
 
 def _predictor(languages: list[str], theta: np.ndarray, vocabulary: str):
     """A function from an Arrow array of texts to (language, score, letter words) lists, with its own caches."""
+    release_worker_cache()
     number: dict[bytes, int] = {}  # words as written
     known = np.zeros((CACHED_WORDS, len(languages) + 1))
     run_number: dict[str, int] = {}  # letter runs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import only, staged
+from ._shared import only, release_worker_cache, staged
 
 #: Kinds in the order that ties follow; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "secret", "name")
@@ -150,6 +150,7 @@ def candidates(texts: DataFrame) -> DataFrame:
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        release_worker_cache()
         for batch in batches:
             rows = []
             for text in batch.column("text"):
