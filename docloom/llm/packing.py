@@ -22,8 +22,8 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections import defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import only, staged
+from ._shared import only, staged, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -40,6 +40,8 @@ LARGE_SHARE = 8
 #: Bounds of a Python worker's caches; they are emptied when full.
 CACHED_WORDS = 500_000
 CACHED_RUNS = 1_400_000
+#: (words, letter runs) where executors are already full of earlier stages' memory.
+SMALL_CACHES = (60_000, 150_000)
 TEXT_BYTES = 1 << 18
 #: Signs that the vocabulary's pre-tokeniser never splits from one another nor joins to letters.
 PUNCTUATION = ".,;:!?%&$#*|"
@@ -53,7 +55,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str):
     """The tokenizer and two caches of ids (little-endian unsigned 32-bit), one set per Python worker:
     by word as written, and by letter run in lower case or punctuation run."""
@@ -62,39 +63,45 @@ def _encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}, {}
+    return worker_cache(("packing", path), lambda: (Tokenizer.from_file(path), {}, {"": b""}))
 
 
 def _encoded(tokenizer, words: list[str]) -> list[bytes]:
-    return [np.array(found.ids, "<u4").tobytes() for found in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    return [array("I", found.ids).tobytes() for found in tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
 
 
-def _learn(tokenizer, by_word: dict[bytes, bytes], by_run: dict[str, bytes], words: list[bytes]) -> None:
+def _learn(tokenizer, by_word: dict[bytes, bytes], by_run: dict[str, bytes], words: list[bytes], most_runs: int = CACHED_RUNS) -> None:
     """Fill the word cache. A letter run followed by plain punctuation is two pre-tokens of this vocabulary, and
     letters are folded before they are looked up, so most new words are made of known runs; the rest (mixed signs,
     digits, apostrophes, capitals whose folding depends on context) are encoded as they stand."""
     plain, whole = [], []
+    known = by_run.get
     for word in words:
         text = word.decode()
         run = text.rstrip(PUNCTUATION)
-        folded = run.lower()
-        if folded.isalpha() and len(folded) == len(run) and "Σ" not in run:
-            plain.append((word, folded, text[len(run) :]))
+        folded, rest = run.lower(), text[len(run) :]
+        head, tail = known(folded), known(rest)
+        if "Σ" in run or len(folded) != len(run):
+            whole.append((word, text))
+        elif head is not None and tail is not None:
+            by_word[word] = head + tail if tail else head
+        elif folded.isalpha():
+            plain.append((word, folded, rest))
         else:
             whole.append((word, text))
-    wanted = {run for _, a, b in plain for run in (a, b) if run and run not in by_run}
-    if len(by_run) + len(wanted) > CACHED_RUNS:
+    wanted = {run for _, a, b in plain for run in (a, b) if run not in by_run}
+    if len(by_run) + len(wanted) > most_runs:
         by_run.clear()
+        by_run[""] = b""
         wanted = {run for _, a, b in plain for run in (a, b) if run}
     runs = list(wanted)
     by_run.update(zip(runs, _encoded(tokenizer, runs), strict=True))
-    by_run[""] = b""
     for word, a, b in plain:
         by_word[word] = by_run[a] + by_run[b]
     by_word.update(zip([w for w, _ in whole], _encoded(tokenizer, [t for _, t in whole]), strict=True))
 
 
-def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
+def token_bytes(texts: list[bytes], path: str, caches: tuple[int, int] = (CACHED_WORDS, CACHED_RUNS)) -> list[bytes]:
     """The ids of texts, four bytes each.
 
     The vocabulary's normaliser and pre-tokeniser never look across white space, so the ids of a text are those
@@ -105,26 +112,26 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     seen = set().union(*words)
     missing = [w for w in seen if w not in by_word]
     if missing:
-        if len(by_word) + len(missing) > max(CACHED_WORDS, len(seen)):
+        if len(by_word) + len(missing) > max(caches[0], len(seen)):
             by_word.clear()
             missing = list(seen)
-        _learn(tokenizer, by_word, by_run, missing)
+        _learn(tokenizer, by_word, by_run, missing, caches[1])
     return [b"".join(map(by_word.__getitem__, w)) for w in words]
 
 
-def _token_batches(texts: pa.Array, path: str):
+def _token_batches(texts: pa.Array, path: str, caches: tuple[int, int] = (CACHED_WORDS, CACHED_RUNS)):
     """token_bytes over an Arrow array, some TEXT_BYTES of text (or one longer text) at a time."""
     some, size = [], 0
     for text in pc.cast(pc.fill_null(texts, ""), pa.binary()):
         some.append(text.as_py())
         size += len(some[-1])
         if size >= TEXT_BYTES:
-            yield from token_bytes(some, path)
+            yield from token_bytes(some, path, caches)
             some, size = [], 0
-    yield from token_bytes(some, path)
+    yield from token_bytes(some, path, caches)
 
 
-def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, caches: tuple[int, int] = (CACHED_WORDS, CACHED_RUNS)) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's token pieces. Map-only."""
     path = vocabulary or default_vocabulary()
     docs = only(df, doc_id=id_col, text=text_col)
@@ -134,7 +141,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     def run(batches):
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for row, ids in enumerate(_token_batches(batch.column("text"), path)):
+            for row, ids in enumerate(_token_batches(batch.column("text"), path, caches)):
                 ids += end
                 for number, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -341,6 +348,6 @@ def pack(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return places.select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), F.col("r.offset").alias("offset"))
 
 
-def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, caches: tuple[int, int] = (CACHED_WORDS, CACHED_RUNS)) -> DataFrame:
     """Tokenise once into the shared folder, then plan and place."""
-    return pack(staged(pieces(df, id_col, text_col, vocabulary, capacity, end_id), "pieces"), capacity)
+    return pack(staged(pieces(df, id_col, text_col, vocabulary, capacity, end_id, caches), "pieces"), capacity)
