@@ -40,7 +40,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the remaining documents with their place in sequences of 4096."""
-    return packing.packed(docs)
+    return packing.packed(docs, caches=packing.SMALL_CACHES)
 
 
 STAGES = [
