@@ -283,3 +283,38 @@ def test_license_templates_name_themselves(spark):
     assert all(got[t] == (name, 1.0) for name, t in license.TEMPLATES)
 
 
+
+BSD_HEADER = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:
+#
+import os"""
+MPL_HEADER = """/* This Source Code Form is subject to the terms of the
+ * Mozilla Public License, v. 2.0. If a copy of the MPL was not
+ * distributed with this file, You can obtain one at
+ * https://mozilla.org/MPL/2.0/. */
+int main() { return 0; }"""
+
+
+def test_wrapped_and_long_licenses(spark):
+    body = "\n".join("words of the file that are many more than the notice" for _ in range(30))
+    mit = "\n".join([*license._MIT[0].split(", "), "", license._MIT[1], "", *license._MIT[2].split(", ")])
+    bsd2 = "\n".join(["Copyright 2020", "", *" ".join((license._BSD[0], license._BSD[1], license._BSD[3])).replace(". ", ".\n\n").split(", ")])
+    rows = [
+        ("b/head.py", BSD_HEADER + "\n" + body, "BSD-3-Clause", None), ("m/head.c", MPL_HEADER + "\n" + body, "MPL-2.0", None), ("s/x.c", "// SPDX-License-Identifier: Apache-2.0\n" + body, "Apache-2.0", None), ("s/y.c", "// SPDX-License-Identifier: GPL-2.0-or-later\n" + body, "GPL-2.0", None),
+        ("p/LICENSE", mit, "MIT", None), ("p/q/x.txt", body, None, "MIT"), ("r/LICENSE.txt", bsd2, "BSD-2-Clause", None), ("r/x.txt", body, None, "BSD-2-Clause"), ("t/COPYING", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met", "BSD-3-Clause", None),
+        ("t/u.txt", None, None, "BSD-3-Clause"), ("v/w.txt", "the software is in the source form and the copy of this file is not in any way the subject of this work\n" + body, None, None), ("s/z.c", "// SPDX-License-Identifier: Foo-9\n" + body, None, None), ("s/de.txt", "Mit.\nThe to to.\nAre with and.\n" + body, None, None),
+    ]
+    got = {r["path"]: r for r in license.scan(spark.createDataFrame([(k, p, t) for k, (p, t, _, _) in enumerate(rows)], "doc_id long, path string, text string")).collect()}
+    assert {p: (got[p]["license"], got[p]["inherited"]) for p, _, _, _ in rows} == {p: (own, inherited) for p, _, own, inherited in rows}
+
+
+def test_license_bound_loses_nothing():
+    rng = random.Random(14)
+    vocabulary = sorted({t for _, x in license.TEMPLATES for t in license._terms(x)}) + [f"w{k}" for k in range(60)]
+    matcher = license._Matcher(license.TEMPLATES, license.COSINE)
+    for _ in range(3000):
+        terms = [t for t in license._terms(rng.choice(license.TEMPLATES)[1]) if rng.random() < 0.7] + rng.choices(vocabulary, k=rng.randrange(0, 12))
+        match = matcher.best(terms)
+        known = [t for t in terms if t in matcher.idf]
+        assert not match or match[0] < license.COSINE or matcher.could(known, len(terms) - len(known))
