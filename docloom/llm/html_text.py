@@ -2,10 +2,10 @@
 
 The standard library's parser streams events once over each page; block-level tags cut the page into lines.
 Every line has a text-to-tag ratio (characters per tag, at least one tag), the ratios are smoothed by a
-Gaussian over neighbouring lines, and lines are clustered by a threshold set by the page's own spread. The
-lines of the content cluster vote, by their characters, for the region: the innermost container that holds
-nearly all of them. All text blocks of that region are returned in page order. Boilerplate containers (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) never give lines.
+Gaussian over neighbouring lines, and lines are clustered by a threshold set by the page's own spread. The region is
+the page's ``main`` parts, else the innermost container that holds the whole content cluster. All text blocks of that
+region, and h1 headings outside it, are returned in page order. Boilerplate containers (menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles, reader comments) never give lines.
 
 Null or empty html, and pages without text: empty string. Unclosed and stray tags are tolerated. Pages are
 independent of one another; repeated rows give equal results.
@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from ._shared import only
 
 SIGMA = 1.0
-REGION_SHARE = 0.9
 #: HTML element names by their role.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -53,18 +52,24 @@ class _Lines(HTMLParser):
         self.tags = 0
         self.ids = 0
         self.kinds: dict[int, str] = {}
+        self.titles: set[int] = set()  # lines inside h1
+        self.in_titles = 0
 
     def _flush(self) -> None:
         if self.text:
             line = SPACE.sub(" ", "".join(self.text)).strip()
             self.text.clear()
             if line:
+                if self.in_titles:
+                    self.titles.add(len(self.lines))
                 self.lines.append((line, self.tags, tuple(c for _, c, _ in self.stack if c)))
                 self.tags = 0
 
     def _pop(self, to: int) -> None:
         while len(self.stack) > to:
-            self.skipping -= self.stack.pop()[2]
+            tag, _, skip = self.stack.pop()
+            self.skipping -= skip
+            self.in_titles -= tag == "h1"
 
     def _implied_ends(self, tag: str) -> None:
         if tag in CLOSES_P:
@@ -107,6 +112,7 @@ class _Lines(HTMLParser):
             self.kinds[container] = tag
         self.stack.append((tag, container, skip))
         self.skipping += skip
+        self.in_titles += tag == "h1"
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         if tag in VOID or tag not in BLOCKS:
@@ -155,27 +161,29 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def content_region(lines: list[tuple[str, int, tuple[int, ...]]], kinds: dict[int, str]) -> int:
-    """The innermost container that holds nearly all characters of the content cluster; 0 for the page."""
+def _cluster(lines: list[tuple[str, int, tuple[int, ...]]]) -> list[bool]:
+    """Which lines belong to the content cluster."""
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
     mean = sum(ratios) / len(ratios)
     spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     threshold = min(mean, spread) if spread else mean
-    weight: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    total = 0
-    for (text, _, path), ratio in zip(lines, ratios, strict=True):
-        if ratio >= threshold:
-            total += len(text)
-            for d, container in enumerate(path, start=1):
-                weight[container] = weight.get(container, 0) + len(text)
-                depth[container] = d
-    named = [c for c in weight if kinds[c] in ("article", "main")]
-    inner = [c for c in named if weight[c] >= REGION_SHARE * max(weight[x] for x in named)]
-    if inner:
-        return max(inner, key=lambda c: (depth[c], weight[c], -c))
-    held = [c for c in weight if weight[c] >= REGION_SHARE * total and kinds[c] not in ("li", "ul", "ol", "td", "tr", "table", "tbody", "blockquote", "pre", "dd", "dt", "dl", "figure", "figcaption")]
-    return max(held, key=lambda c: (depth[c], -c)) if held else 0
+    return [r >= threshold for r in ratios]
+
+
+def content_region(lines: list[tuple[str, int, tuple[int, ...]]], kinds: dict[int, str]) -> set[int]:
+    """The containers whose lines are the main text: the page's ``main`` parts, else the innermost container that
+    holds the whole content cluster; empty for the page."""
+    paths = [path for (_, _, path), inside in zip(lines, _cluster(lines), strict=True) if inside]
+    if any(kinds[c] == "main" for path in paths for c in path):
+        return {c for c, kind in kinds.items() if kind == "main"}
+    shared = paths[0]
+    for path in paths:
+        same = 0
+        while same < min(len(shared), len(path)) and shared[same] == path[same]:
+            same += 1
+        shared = shared[:same]
+    held = [c for c in shared if kinds[c] not in ("li", "ul", "ol", "td", "tr", "table", "tbody", "blockquote", "pre", "dd", "dt", "dl", "figure", "figcaption")]
+    return {held[-1]} if held else set()
 
 
 def extract(html: str | None) -> list[str]:
@@ -188,7 +196,7 @@ def extract(html: str | None) -> list[str]:
     if not parser.lines:
         return []
     region = content_region(parser.lines, parser.kinds)
-    return [text for text, _, path in parser.lines if not region or region in path]
+    return [text for k, (text, _, path) in enumerate(parser.lines) if not region or not region.isdisjoint(path) or k in parser.titles]
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

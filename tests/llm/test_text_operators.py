@@ -263,6 +263,18 @@ def test_pages(spark):
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_keep_the_whole_article():
+    story, long, second = "story words " * 400, "first part " * 450, "second part " * 330
+    pages = {
+        f"<div class=page><h1>Title</h1><div class=lead><p>short intro</p></div><div class=story><p>{story}</p></div></div>": ["Title", "short intro", story.strip()],
+        f"<main><h1>Title</h1><p>intro</p><article><p>{story}</p></article></main>": ["Title", "intro", story.strip()],
+        f"<div><article><p>{long}</p></article><article><p>{second}</p></article></div>": [long.strip(), second.strip()],
+        f"<h1>Title</h1><main><p>{story}</p></main><div><ul><li><a>x</a></ul></div>": ["Title", story.strip()],
+    }
+    for html, want in pages.items():
+        assert html_text.extract(html) == want, html[:80]
+
+
 def test_licenses(spark):
     body = "words of the file that are many more than the notice " * 5
     rows = [
