@@ -5,7 +5,9 @@ Every line has a text-to-tag ratio (characters per tag, at least one tag), the r
 Gaussian over neighbouring lines, and lines are clustered by a threshold set by the page's own spread. The region is
 the page's ``main`` parts, else the innermost container that holds the whole content cluster. All text blocks of that
 region, and h1 headings outside it, are returned in page order. Boilerplate containers (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments) never give lines.
+sidebars, notices, adverts, forms, scripts, styles, reader comments) never give lines. They are known by element, role
+or a noise word in class or id; one known by class or id alone that holds most of the content cluster stays, and class
+names that state a layout (has-, no-, with-, -open, -enabled) name no boilerplate.
 
 Null or empty html, and pages without text: empty string. Unclosed and stray tags are tolerated. Pages are
 independent of one another; repeated rows give equal results.
@@ -32,14 +34,33 @@ SKIPPED = frozenset("script style noscript template head nav footer aside form b
 CLOSES_P = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "title", "legend", "summary"}
 SELF_NESTING_OFF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table menu article section main aside nav div body".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|sidebar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|masthead|topbar|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|widget|comment|comments|commentlist|respond|reply|replies|disqus|login|pagination|pager|toolbar)(?:$|[\s_-])",
-    re.IGNORECASE,
+NOISE = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent notice popup modal newsletter subscribe signup share sharing social related recommended widget comment comments commentlist respond reply replies disqus login pagination pager toolbar".split()
 )
+#: Words that make a class name a statement about layout or state, not a name of the container's role.
+MODIFIERS = frozenset("has have no not non with without hide show".split())
+STATES = frozenset("open opened closed enabled disabled on off active visible hidden".split())
+#: A container with this share of the content cluster's characters isn't boilerplate, if it is named by a noise word
+#: alone or by a compound with one.
+NAMED_SHARE, COMPOUND_SHARE = 0.9, 0.5
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 SPACE = re.compile(r"\s+")
 
 
+def noise_share(value: str) -> float | None:
+    """The share of the content from which a container with this class or id isn't noise; None if it isn't named so."""
+    share = None
+    for token in value.lower().split():
+        if token in NOISE:
+            return NAMED_SHARE
+        words = re.split("[_-]+", token)
+        if not MODIFIERS.isdisjoint(words) or words[-1] in STATES:
+            continue
+        if not NOISE.isdisjoint(words):
+            share = COMPOUND_SHARE
+    return share
+
+
 class _Lines(HTMLParser):
     """Cuts a page into block lines: (text, tags, path of open containers)."""
 
@@ -52,6 +73,7 @@ class _Lines(HTMLParser):
         self.tags = 0
         self.ids = 0
         self.kinds: dict[int, str] = {}
+        self.noise: dict[int, float] = {}  # containers named like noise, with their limit
         self.titles: set[int] = set()  # lines inside h1
         self.in_titles = 0
 
@@ -99,17 +121,22 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
+        noise = None
         skip = tag in SKIPPED or (tag == "header" and not any(n in ("article", "main") for n, _, _ in self.stack))
         if not skip and block and tag not in ("html", "body", "article", "main", "p") and not (len(tag) == 2 and tag[0] == "h"):
             for name, value in attrs:
-                if value and (name in ("class", "id") and NOISE.search(value) or name == "role" and value.lower() in NOISE_ROLES):
+                if value and name == "role" and value.lower() in NOISE_ROLES:
                     skip = True
                     break
+                if value and name in ("class", "id") and (share := noise_share(value)):
+                    noise = max(noise or 0.0, share)
         container = 0
         if block and tag != "p" and not (tag[0] == "h" and tag[1:].isdigit()):
             self.ids += 1
             container = self.ids
             self.kinds[container] = tag
+            if noise and not skip:
+                self.noise[container] = noise
         self.stack.append((tag, container, skip))
         self.skipping += skip
         self.in_titles += tag == "h1"
@@ -186,6 +213,19 @@ def content_region(lines: list[tuple[str, int, tuple[int, ...]]], kinds: dict[in
     return {held[-1]} if held else set()
 
 
+def noise_containers(lines: list[tuple[str, int, tuple[int, ...]]], noise: dict[int, float]) -> set[int]:
+    """The containers named like noise that don't hold most of the page's content lines."""
+    weight = dict.fromkeys(noise, 0)
+    total = 0
+    for (text, _, path), inside in zip(lines, _cluster(lines), strict=True):
+        if inside:
+            total += len(text)
+            for c in path:
+                if c in weight:
+                    weight[c] += len(text)
+    return {c for c, share in noise.items() if weight[c] <= share * total}
+
+
 def extract(html: str | None) -> list[str]:
     """The blocks of the main text, in page order."""
     if not html:
@@ -195,8 +235,18 @@ def extract(html: str | None) -> list[str]:
     parser.close()
     if not parser.lines:
         return []
-    region = content_region(parser.lines, parser.kinds)
-    return [text for k, (text, _, path) in enumerate(parser.lines) if not region or not region.isdisjoint(path) or k in parser.titles]
+    noise = noise_containers(parser.lines, parser.noise) if parser.noise else set()
+    lines, titles, tags = [], [], 0
+    for k, (text, own, path) in enumerate(parser.lines):
+        tags += own
+        if noise.isdisjoint(path):
+            lines.append((text, tags, path))
+            titles.append(k in parser.titles)
+            tags = 0
+    if not lines:
+        return []
+    region = content_region(lines, parser.kinds)
+    return [text for (text, _, path), title in zip(lines, titles, strict=True) if not region or title or not region.isdisjoint(path)]
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -275,6 +275,19 @@ def test_pages_keep_the_whole_article():
         assert html_text.extract(html) == want, html[:80]
 
 
+@pytest.mark.parametrize("attribute", ['class="content has-sidebar"', 'id="wrap-no-sidebar"', 'class="entry share-enabled"', 'class="post comment-open"', 'class="layout-sidebar-right"', 'class="page widget"'])
+def test_wrappers_named_like_noise_keep_the_article(attribute):
+    story = ("story words " * 50).strip()
+    html = f"<body><div {attribute}><h1>Title</h1><p>{story}</p><p>{story}</p><div class='sidebar'><p>links here</p></div><div class='site-footer'><p>legal</p></div></div></body>"
+    assert html_text.extract(html) == ["Title", story, story]
+
+
+def test_several_entries_with_states_stay():
+    story = ("story words " * 50).strip()
+    assert html_text.extract(f"<div class='entry share-enabled'><p>{story}</p></div>" * 3) == [story] * 3
+    assert html_text.extract(f"<div><p>{story}</p></div><div class='comments'><p>{story * 2}</p></div>") == [story]
+
+
 def test_licenses(spark):
     body = "words of the file that are many more than the notice " * 5
     rows = [
