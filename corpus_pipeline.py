@@ -20,6 +20,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.relabelled(docs).select(*COLUMNS)
 
 
+def _with_ids(stage):
+    """A stage that selects rows by id, in which every row without an id is a document of its own: such rows have an id
+    above all others while the stage runs."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if docs.where("doc_id is null").isEmpty():
+            return stage(spark, docs, sf_dir)
+        top = docs.agg(F.max("doc_id")).first()[0]
+        own = F.monotonically_increasing_id() + F.lit(max(top if top is not None else 0, 0) + 1)
+        named = staged(docs.withColumn("_no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", own)), "named")
+        kept = stage(spark, named, sf_dir)
+        without = staged(named.where("_no_id").select(F.col("doc_id").alias("_named")), "without-ids")
+        return kept.join(without, F.col("doc_id") == F.col("_named"), "left").withColumn("doc_id", F.when(F.col("_named").isNull(), F.col("doc_id"))).select(*COLUMNS)
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
+@_with_ids
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-equal texts, the document with the least id stays; of its repeated rows, one."""
     leaders = staged(jaccard.jaccard_classes(docs).where("doc_id = component_id").select("doc_id"), "leaders")
@@ -28,6 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return (kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
 
 
+@_with_ids
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)

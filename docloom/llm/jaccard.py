@@ -283,9 +283,9 @@ def _whole_sets(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    wanted = nodes.select("doc_id")
+    wanted = nodes.select(F.col("doc_id").alias("_wanted")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
-    return texts.join(wanted, "doc_id", "left_semi").mapInArrow(run, "node long, shingles array<long>")
+    return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").mapInArrow(run, "node long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -421,11 +421,12 @@ def _family_links(families: DataFrame, found: DataFrame, sets: DataFrame, t: Fra
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, t: Fraction = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) per text; component_id is the least id reachable by links."""
+    """(doc_id, n_shingles, node, component_id) per text; component_id is the least id reachable by links (null if no
+    text of the component has an id). A text with null ids only is fetched again by the null id."""
     texts = only(df, doc_id=id_col, text=text_col)
     sets = set_table(texts, n, t)
     reps = staged(
-        sets.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("r")).select("node", "r.*"), "nodes"
+        sets.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n_shingles", "prefix")).alias("r")).select("node", "r.doc_id", "r.n_shingles", "r.prefix"), "nodes"
     )
     met = staged(_candidates(reps, t), "candidates")
     pairs = met.where("b is not null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")

@@ -268,7 +268,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = texts.select("cls", "text").mapInArrow(_sampled, "gram long, cls long, twice boolean").repartition(parts, "gram").mapInArrow(_repeated, "cls long, gram long")
     wanted = wanted.groupBy("cls").agg(F.collect_list("gram").alias("grams"))
     chosen = staged(classes.withColumn("cls", F.xxhash64("key")).join(wanted, "cls").select("key", "doc_id", "copies", "grams"), "repeating")
-    shared = staged(texts.select("doc_id", "key", "text").join(chosen, ["key", "doc_id"]).select("key", "text", "copies", "grams"), "repeating-texts")
+    chosen = chosen.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), "copies", "grams")
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    shared = staged(texts.select("doc_id", "key", "text").join(chosen, same).select("key", "text", "copies", "grams"), "repeating-texts")
     runs = shared.select("key", "text", "grams").mapInArrow(_stretches, SEGMENT).repartition(parts, "gram").mapInArrow(_decided, "key binary, first int, last int")
     runs = runs.groupBy("key").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     cut = shared.where("copies = 1").select("key", "text").join(runs, "key").mapInArrow(_removed, "key binary, n_removed long, n_spans long, kept_sha256 string")

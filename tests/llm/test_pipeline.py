@@ -35,6 +35,19 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == seen[3] and len({r["sequence_id"] for r in packed}) == 1
 
 
+def test_rows_without_ids(spark, tmp_path):
+    texts = [" ".join(f"{chr(97 + k)}{w}{j}" for j, w in enumerate(LINE.split())) for k in range(4)]
+    quiz = " ".join(f"quiz{k}" for k in range(20))
+    rows = [(1, texts[0]), (None, texts[0] + " tail"), (None, texts[1]), (None, texts[1]), (None, texts[2]), (None, f"{texts[3]} {quiz} and on")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, quiz)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert tuple(kept.columns) == corpus_pipeline.COLUMNS
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+    clean = corpus_pipeline.decontaminate(spark, kept, str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
+
+
 DATA = "/root/testdata/sf0.001"
 
 

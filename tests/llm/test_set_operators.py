@@ -63,6 +63,15 @@ def test_jaccard_classes(spark, monkeypatch, config):
     assert got == brute_classes(rows)
 
 
+def test_jaccard_null_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    copy, near = " ".join(base), " ".join([*base, "tail"])
+    rest = [f"v{k}" for k in range(60)]
+    rows = [(None, copy), (7, copy), (9, near), (None, " ".join(rest)), (5, " ".join([*rest, "end"])), (None, "nothing like it at all in here"), (3, None), (None, None)]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("None", 56, "7"), ("7", 56, "7"), ("9", 57, "7"), ("None", 56, "5"), ("5", 57, "5"), ("None", 3, "None"), ("3", 0, "3"), ("None", 0, "None")])
+
+
 def test_jaccard_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_classes(df).count() == 0
@@ -126,6 +135,16 @@ def test_repeats_of_one_text_and_long_chunks(spark, monkeypatch):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeats_null_ids(spark):
+    rng = random.Random(15)
+    noise = lambda n: "".join(rng.choice("xyzw ") for _ in range(n))
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    rows = [(None, noise(200) + passage + noise(100)), (1, noise(90) + passage[100:] + noise(50)), (None, noise(700)), (None, None)]
+    got = [tuple(r) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(rows[r[0]][0], *r[1:]) for r in brute_repeats([(k, t) for k, (_, t) in enumerate(rows)])]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def grams(text):
     w = WORD.findall((text or "").lower())
     return [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
