@@ -26,7 +26,8 @@ from ._shared import only, release_worker_cache, staged
 
 TRAIN_TEXTS = 1000
 ROUNDS = 3
-LONGEST_PIECE = 8
+#: The longest lower-case letter piece of the vocabulary, with its word-start mark.
+LONGEST_PIECE = 16
 #: Training words longer than this are left out of the lattice statistics; prediction has no such bound.
 TRAIN_WORD = 40
 #: Bounds of a Python worker's caches; they are emptied when full. A text is read in parts of so many words.

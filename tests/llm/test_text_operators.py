@@ -152,6 +152,15 @@ def test_forward_sums_all_segmentations():
     assert counts.sum() > 0 and np.isclose(sum(len(p) * counts[k] for p, k in vocabulary.items() if counts[k]), 3 * 4)
 
 
+def test_every_letter_piece_of_the_vocabulary_is_used():
+    import sentencepiece
+
+    path = langid.default_vocabulary()
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    every = {p for p in map(model.id_to_piece, range(model.get_piece_size())) if langid.LETTERS.fullmatch(p.removeprefix(langid.START)) and p == p.lower()}
+    assert every <= set(langid.pieces(path)) and max(map(len, every)) <= langid.LONGEST_PIECE
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
