@@ -14,8 +14,8 @@ out; equal windows have distance 0.
 The benchmark's shingles are taken in blocks of ``BENCHMARK_BLOCK`` (a stated query set against all rows): each block
 is a constant set inside one scan of the texts, so no text is shuffled.
 
-Null and empty texts match nothing, nor do items of fewer than five words (they have no shingle). Repeated rows
-of an id give one row per (doc_id, item_id), the best window. Empty tables give an empty result.
+Items of fewer than five words are one shingle of all their words and are looked for in the texts' windows of that many
+words; similarity is 1 or 0 there. Null and empty texts and items match nothing. Repeated rows of an id give one row per (doc_id, item_id), the best window. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -42,12 +42,12 @@ def folded_words(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def shingles(text: Column) -> Column:
-    """The hashes of all five-word windows in order; null for texts of fewer words."""
+def shingles(text: Column, size: int = SHINGLE) -> Column:
+    """The hashes of all windows of ``size`` words in order; null for texts of fewer words."""
 
     def of(words: Column) -> Column:
-        hashes = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, SHINGLE)]))
-        return F.when(F.size(words) >= SHINGLE, F.slice(hashes, F.lit(1), F.size(words) - (SHINGLE - 1)))
+        hashes = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, size)]))
+        return F.when(F.size(words) >= size, F.slice(hashes, F.lit(1), F.size(words) - (size - 1)))
 
     return let(folded_words(text), of)
 
@@ -84,6 +84,32 @@ def item_table(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     return items.select("item_id", "grams", F.size("grams").alias("n_grams"), simhash("grams").alias("fingerprint"))
 
 
+def short_item_table(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, size, gram) of the items of one word to four: one shingle of all their words."""
+    items = only(benchmark, item_id=item_col, text=text_col).select("item_id", folded_words(F.col("text")).alias("words")).where(f"size(words) between 1 and {SHINGLE - 1}")
+    return items.select("item_id", F.size("words").alias("size"), F.xxhash64(*[F.get("words", F.lit(k)) for k in range(SHINGLE - 1)]).alias("gram"))
+
+
+def short_contaminations(texts: DataFrame, items: DataFrame) -> DataFrame | None:
+    """Rows like those of ``contaminations``: the first place of each short item in each text; None without such items."""
+    found = None
+    for size in sorted(r["size"] for r in items.select("size").distinct().collect()):
+        own = items.where(F.col("size") == size)
+        grams = sorted(r["gram"] for r in own.select("gram").distinct().toLocalIterator())
+        hashed = texts.select("doc_id", shingles(F.col("text"), size).alias("hs"))
+        for lo in range(0, len(grams), BENCHMARK_BLOCK):
+            hits = _hits(hashed, grams[lo : lo + BENCHMARK_BLOCK]).select("doc_id", F.explode("hits").alias("hit")).groupBy("doc_id", F.col("hit.gram").alias("gram")).agg(F.min("hit.p").cast("long").alias("start"))
+            part = hits.join(own, "gram").select("doc_id", "item_id", "start", F.col("size").cast("long").alias("n_words"), F.lit(0).cast("long").alias("hamming"), F.lit(1.0).alias("similarity")).groupBy("doc_id", "item_id").agg(*[F.min(c).alias(c) for c in ("start", "n_words", "hamming", "similarity")])
+            found = part if found is None else found.union(part)
+    return found
+
+
+def _hits(hashed: DataFrame, grams: list[int]) -> DataFrame:
+    """(doc_id, hs, hits): the places of a constant set of shingles, for the texts that have any."""
+    members = ", ".join(f"{g}L" if g > -(1 << 63) else "(-9223372036854775807L - 1L)" for g in grams)
+    return hashed.where(F.expr(f"exists(hs, x -> x in ({members}))")).select("doc_id", "hs", F.expr(f"filter(transform(hs, (x, i) -> named_struct('gram', x, 'p', i)), s -> s.gram in ({members}))").alias("hits"))
+
+
 def windows(texts: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, start, n_grams, own): distinct item-sized windows that share a shingle with an item of that size.
 
@@ -94,8 +120,7 @@ def windows(texts: DataFrame, items: DataFrame) -> DataFrame:
     hashed = texts.select("doc_id", shingles(F.col("text")).alias("hs"))
     found = []
     for lo in range(0, len(grams), BENCHMARK_BLOCK):
-        members = ", ".join(f"{g}L" if g > -(1 << 63) else "(-9223372036854775807L - 1L)" for g in grams[lo : lo + BENCHMARK_BLOCK])
-        found.append(hashed.where(F.expr(f"exists(hs, x -> x in ({members}))")).select("doc_id", "hs", F.expr(f"filter(transform(hs, (x, i) -> named_struct('gram', x, 'p', i)), s -> s.gram in ({members}))").alias("hits")))
+        found.append(_hits(hashed, grams[lo : lo + BENCHMARK_BLOCK]))
     if not found:
         return texts.sparkSession.createDataFrame([], f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, start int, n_grams int, own array<bigint>")
     hits = found[0]
@@ -127,7 +152,9 @@ def contaminations(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     scored = near.join(small(items.select("item_id", "grams")), "item_id").withColumn("similarity", weighted_similarity("own", "grams"))
     best = F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("before"), (F.size("own") + SHINGLE - 1).alias("n_words"), F.col("hamming")))
     found = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(best.alias("w"))
-    return found.select("doc_id", "item_id", (-F.col("w.before")).cast("long").alias("start"), F.col("w.n_words").cast("long").alias("n_words"), F.col("w.hamming").cast("long").alias("hamming"), F.col("w.similarity").alias("similarity"))
+    found = found.select("doc_id", "item_id", (-F.col("w.before")).cast("long").alias("start"), F.col("w.n_words").cast("long").alias("n_words"), F.col("w.hamming").cast("long").alias("hamming"), F.col("w.similarity").alias("similarity"))
+    short = short_contaminations(only(df, doc_id=id_col, text=text_col), staged(short_item_table(benchmark, item_col, item_text_col), "short-items"))
+    return found if short is None else found.union(short)
 
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

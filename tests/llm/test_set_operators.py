@@ -195,6 +195,15 @@ def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminations(df, bench).collect()) == [(k, k) for k in range(12)]
 
 
+def test_short_items_are_found_verbatim(spark):
+    items = [(1, "Blue  moon"), (2, "zebra"), (3, "a b c d"), (4, ""), (5, None), (6, "one two three four five"), (7, "blue moon")]
+    rows = [(1, "under the\nblue MOON tonight"), (2, "blue sky moon"), (3, "a b c d"), (4, "a b c"), (5, "zebra"), (6, "zebras"), (7, None), (8, "one two three four five"), (9, "x a b c d a b c d zebra")]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["start"], r["n_words"], r["similarity"]) for r in decontam.contaminations(df, bench).collect())
+    assert got == [(1, 1, 2, 2, 1.0), (1, 7, 2, 2, 1.0), (3, 3, 0, 4, 1.0), (5, 2, 0, 1, 1.0), (8, 6, 0, 5, 1.0), (9, 2, 9, 1, 1.0), (9, 3, 1, 4, 1.0)]
+    assert {r["doc_id"] for r in decontam.decontaminated(df, bench).collect()} == {2, 4, 6, 7}
+
+
 def test_multi_index_finds_everything_within_the_radius():
     rng = random.Random(13)
     masks = set(decontam.neighbours())
