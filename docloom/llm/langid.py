@@ -4,42 +4,51 @@ The pieces of a fixed public vocabulary are the units. Each language has a proba
 probability is the sum over all of its segmentations into pieces, computed by the forward algorithm, and a text's
 score is the sum of its words' log probabilities. Piece probabilities are learned by expectation-maximisation
 (forward-backward over all segmentations) on the word counts of a bounded sample of labelled texts:
-``TRAIN_TEXTS`` texts a language, expected, picked by a hash of the id. Prediction reads whole texts only.
+``TRAIN_TEXTS`` texts a language, expected, picked by a hash of the id. Learning and prediction read whole texts and
+whole words: lattices of long words are built a block of positions at a time, and words and texts of any length are
+scored a bounded number of letter runs at a time.
 
-Words are runs of letters, lower-cased. Null texts and texts without a letter: ``und`` with score 0, as is every
-text when nothing was learned. Ties go to the language first in order. Repeated rows get equal results.
+Words are runs of letters (Unicode category L), lower-cased. Null texts and texts without a letter: ``und`` with
+score 0, as is every text when nothing was learned. Ties go to the language first in order. Repeated rows get equal
+results; extra columns play no part. Empty table: empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import only, release_worker_cache, staged
+from ._shared import discard, mapped, only, release_worker_cache, staged
 
 TRAIN_TEXTS = 1000
 ROUNDS = 3
 #: The longest lower-case letter piece of the vocabulary, with its word-start mark.
 LONGEST_PIECE = 16
-#: Training words longer than this are left out of the lattice statistics; prediction has no such bound.
-TRAIN_WORD = 40
-#: Bounds of a Python worker's caches; they are emptied when full. A text is read in parts of so many words.
-CACHED_WORDS = 250_000
-CACHED_RUNS = 500_000
-PART_WORDS = 50_000
+#: Positions of a word whose lattice is held at once, and positions of all words that are scored together.
+BLOCK = 4096
+TOGETHER = 1 << 16
+#: Bounds of a Python worker's caches (entries, bytes of their keys); they are emptied when full. A text is read in
+#: parts of so many words, a word in parts of so many letter runs.
+CACHED_WORDS = 100_000
+CACHED_RUNS = 150_000
+CACHED_BYTES = 8 << 20
+PART_WORDS = 100_000
+PART_RUNS = 50_000
+#: Words that a training task counts before it sends the counts on.
+COUNTED_WORDS = 100_000
 #: Texts whose new words are scored together.
-TEXT_BYTES = 1 << 19
+TEXT_BYTES = 3 << 17
 SMOOTHING = 0.1
 UNKNOWN = 1e-7
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
 UNDETERMINED = "und"
 
@@ -93,69 +102,90 @@ def _hashed(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes[order], order.astype(np.int32), passing
 
 
-def lattice(words: list[str], vocabulary: str) -> np.ndarray:
-    """Piece numbers of words of one length: [word, end, length - 1]; single unknown characters are V, no piece V + 1."""
+def lattice(words: list[str], vocabulary: str, first: int = 0, end: int | None = None) -> np.ndarray:
+    """Piece numbers of words of one length, for pieces that end at ``first`` to ``end`` - 1: [word, end, length - 1].
+    Single unknown characters are V, no piece V + 1."""
     hashes, numbers, passing = _hashed(vocabulary)
-    n, unknown, none = len(words[0]), len(hashes), len(hashes) + 1
-    points = _spread(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n).astype(np.uint64))
+    unknown, none = len(hashes), len(hashes) + 1
+    start, end = max(0, first - LONGEST_PIECE + 1), len(words[0]) if end is None else min(end, len(words[0]))
+    n = end - start
+    points = _spread(np.frombuffer("".join(w[start:end] for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n).astype(np.uint64))
     out = np.full((len(words), n, LONGEST_PIECE), none, dtype=np.int32)
     out[:, :, 0] = unknown
     total = np.zeros_like(points)
     for k in range(min(n, LONGEST_PIECE)):
         total[:, k:] += points[:, : n - k] * _PLACES[k]
-        word, end = np.nonzero(passing[_slot(total[:, k:])])
-        mine = total[word, end + k]
+        word, last = np.nonzero(passing[_slot(total[:, k:])])
+        mine = total[word, last + k]
         at = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
         hit = hashes[at] == mine
-        out[word[hit], end[hit] + k, k] = numbers[at[hit]]
-    return out
+        out[word[hit], last[hit] + k, k] = numbers[at[hit]]
+    return out[:, first - start :]
 
 
-def log_probabilities(words: list[str], vocabulary: str, theta: np.ndarray) -> np.ndarray:
-    """[word, language] log of the sum over all segmentations. theta: [V + 2, language]; the last row is 0."""
-    out = np.empty((len(words), theta.shape[1]))
+def _alike(words: list[str]):
+    """Groups of words of one length, a bounded number of positions together: lists of places."""
     by_length: dict[int, list[int]] = defaultdict(list)
     for i, w in enumerate(words):
         by_length[len(w)].append(i)
     for n, every in by_length.items():
-        step = max(1, 200_000 // n)
+        step = max(1, TOGETHER // n)
         for lo in range(0, len(every), step):
-            at = every[lo : lo + step]
-            ids = lattice([words[i] for i in at], vocabulary)
-            recent = np.zeros((len(at), LONGEST_PIECE, theta.shape[1]))  # alpha of the last positions, nearest first
-            recent[:, 0] = 1.0
-            scale = np.zeros((len(at), theta.shape[1]))
-            for j in range(n):
+            yield n, every[lo : lo + step]
+
+
+def log_probabilities(words: list[str], vocabulary: str, theta: np.ndarray) -> np.ndarray:
+    """[word, language] log of the sum over all segmentations. theta: [V + 2, language]; the last row is 0."""
+    out = np.empty((len(words), theta.shape[1]))
+    for n, at in _alike(words):
+        some = [words[i] for i in at]
+        recent = np.zeros((len(at), LONGEST_PIECE, theta.shape[1]))  # alpha of the last positions, nearest first
+        recent[:, 0] = 1.0
+        scale = np.zeros((len(at), theta.shape[1]))
+        for first in range(0, n, BLOCK):
+            ids = lattice(some, vocabulary, first, first + BLOCK)
+            for j in range(ids.shape[1]):
                 now = (recent * theta[ids[:, j]]).sum(axis=1)
                 scale += np.log(now)
                 recent[:, 1:] = recent[:, :-1] / now[:, None]
                 recent[:, 0] = 1.0
-            out[at] = scale
+        out[at] = scale
     return out
 
 
 def expected_counts(words: list[str], times: np.ndarray, vocabulary: str, theta: np.ndarray) -> np.ndarray:
-    """Expected piece uses under theta[V + 2] of one language, by forward-backward over every segmentation."""
+    """Expected piece uses under theta[V + 2] of one language, by forward-backward over every segmentation.
+
+    Forward sums are kept as ratios of neighbouring positions and backward sums as the expected number of pieces that end
+    at a position, so nothing underflows however long a word is.
+    """
     counts = np.zeros(len(theta))
-    by_length: dict[int, list[int]] = defaultdict(list)
-    for i, w in enumerate(words):
-        by_length[len(w)].append(i)
-    for n, at in by_length.items():
-        ids = lattice([words[i] for i in at], vocabulary)
-        use = theta[ids]
-        alpha = np.zeros((len(at), n + 1))
-        beta = np.zeros((len(at), n + 1))
-        alpha[:, 0] = beta[:, n] = 1.0
-        for j in range(1, n + 1):
-            for k in range(1, min(LONGEST_PIECE, j) + 1):
-                alpha[:, j] += alpha[:, j - k] * use[:, j - 1, k - 1]
-        for j in range(n, 0, -1):
-            for k in range(1, min(LONGEST_PIECE, j) + 1):
-                beta[:, j - k] += beta[:, j] * use[:, j - 1, k - 1]
-        weight = times[at] / np.maximum(alpha[:, n], 1e-300)
-        for j in range(1, n + 1):
-            for k in range(1, min(LONGEST_PIECE, j) + 1):
-                np.add.at(counts, ids[:, j - 1, k - 1], alpha[:, j - k] * use[:, j - 1, k - 1] * beta[:, j] * weight)
+    for n, at in _alike(words):
+        some = [words[i] for i in at]
+        ratio = np.zeros((len(at), LONGEST_PIECE + n))  # 1 / (alpha[j + 1] / alpha[j]), padded in front
+        recent = np.zeros((len(at), LONGEST_PIECE))
+        recent[:, 0] = 1.0
+        for first in range(0, n, BLOCK):
+            ids = lattice(some, vocabulary, first, first + BLOCK)
+            for j in range(ids.shape[1]):
+                step = 1 / (recent * theta[ids[:, j]]).sum(axis=1)
+                ratio[:, LONGEST_PIECE + first + j] = step
+                recent[:, 1:] = recent[:, :-1] * step[:, None]
+                recent[:, 0] = 1.0
+        ends = np.zeros((len(at), LONGEST_PIECE + n + 1))  # expected pieces that end before a position, padded in front
+        ends[:, -1] = times[at]
+        for first in reversed(range(0, n, BLOCK)):
+            ids = lattice(some, vocabulary, first, first + BLOCK)
+            use = theta[ids]
+            back = np.ones(ids.shape[:2])
+            for k in range(LONGEST_PIECE):
+                back = back * ratio[:, LONGEST_PIECE + first - k : LONGEST_PIECE + first - k + ids.shape[1]]
+                use[:, :, k] *= back
+            for j in reversed(range(ids.shape[1])):
+                place = LONGEST_PIECE + first + j
+                use[:, j] *= ends[:, place + 1, None]
+                ends[:, place - LONGEST_PIECE + 1 : place + 1] += use[:, j, ::-1]
+            counts += np.bincount(ids.ravel(), weights=use.ravel(), minlength=len(theta))
     return counts
 
 
@@ -177,15 +207,22 @@ def train(labelled: DataFrame, vocabulary: str, train_texts: int = TRAIN_TEXTS,
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
 
     def count(batches):
-        for batch in batches:
-            found: dict[tuple[str, str], int] = defaultdict(int)
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for word in _words(text or ""):
-                    if len(word) <= TRAIN_WORD:
-                        found[lang, word] += 1
+        release_worker_cache()
+        found: dict[tuple[str, str], int] = defaultdict(int)
+
+        def counted():
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())], names=["lang", "word", "n"])
+            found.clear()
 
-    counts = staged(labelled.where(drawn).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                for match in LETTERS.finditer((text.as_py() or "").lower()):
+                    found[lang, START + match.group()] += 1
+                    if len(found) >= COUNTED_WORDS:
+                        yield from counted()
+        yield from counted()
+
+    counts = staged(mapped(labelled.where(drawn).select("lang", "text"), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     theta = np.full((width, len(languages)), 1.0 / (width - 2))
     theta[-2], theta[-1] = UNKNOWN, 0.0
     number = {lang: k for k, lang in enumerate(languages)}
@@ -194,6 +231,7 @@ def train(labelled: DataFrame, vocabulary: str, train_texts: int = TRAIN_TEXTS,
         current = sc.broadcast(theta)
 
         def expect(batches, current=current):
+            release_worker_cache()
             table = current.value
             sums = np.zeros_like(table)
             for batch in batches:
@@ -206,13 +244,15 @@ def train(labelled: DataFrame, vocabulary: str, train_texts: int = TRAIN_TEXTS,
             piece, lang = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(lang, pa.int64()), pa.array(sums[piece, lang], pa.float64())], names=["piece", "lang", "n"])
 
-        got = counts.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        got = mapped(counts, expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
         theta = np.zeros_like(theta)
         theta[got.column("piece").to_numpy(), got.column("lang").to_numpy()] = got.column("n").to_numpy()
         theta = theta + SMOOTHING
         theta[-2:] = 0.0
         theta /= theta.sum(axis=0)
         theta[-2] = UNKNOWN
+        current.unpersist()
+    discard(counts)
     return languages, theta
 
 
@@ -220,25 +260,39 @@ def _predictor(languages: list[str], theta: np.ndarray, vocabulary: str):
     """A function from an Arrow array of texts to (language, score, letter words) lists, with its own caches."""
     release_worker_cache()
     number: dict[bytes, int] = {}  # words as written
-    known = np.zeros((CACHED_WORDS, len(languages) + 1))
+    known = np.zeros((CACHED_WORDS + PART_WORDS, len(languages) + 1))
     run_number: dict[str, int] = {}  # letter runs
-    run_known = np.zeros((CACHED_RUNS, len(languages)))
+    run_known = np.zeros((CACHED_RUNS + PART_RUNS, len(languages)))
+    held = [0, 0]  # bytes of the words, characters of the runs
 
     def learn(words: list[bytes]) -> None:
-        runs = [_words(w.decode()) for w in words]
-        new = list({r for x in runs for r in x if r not in run_number})
-        if len(run_number) + len(new) > CACHED_RUNS:
-            run_number.clear()
-            new = list({r for x in runs for r in x})
-        if new:
-            run_known[len(run_number) : len(run_number) + len(new)] = log_probabilities(new, vocabulary, theta)
-            run_number.update(zip(new, range(len(run_number), len(run_number) + len(new)), strict=True))
-        base = len(number)
+        base, runs, owners = len(number), [], []
         known[base : base + len(words)] = 0
-        owner = np.repeat(np.arange(base, base + len(words)), [len(x) for x in runs])
-        np.add.at(known, (owner, slice(0, len(languages))), run_known[[run_number[r] for x in runs for r in x]])
-        np.add.at(known[:, -1], owner, 1)
+
+        def settle() -> None:
+            if len(run_number) > CACHED_RUNS or held[1] > CACHED_BYTES:
+                run_number.clear()
+                held[1] = 0
+            new = [r for r in dict.fromkeys(runs) if r not in run_number]
+            if new:
+                run_known[len(run_number) : len(run_number) + len(new)] = log_probabilities(new, vocabulary, theta)
+                run_number.update(zip(new, range(len(run_number), len(run_number) + len(new)), strict=True))
+                held[1] += sum(map(len, new))
+            owner = np.array(owners, dtype=np.int64)
+            np.add.at(known, (owner, slice(0, len(languages))), run_known[np.fromiter(map(run_number.__getitem__, runs), np.int64, len(runs))])
+            np.add.at(known[:, -1], owner, 1)
+            runs.clear()
+            owners.clear()
+
+        for k, word in enumerate(words):
+            for match in LETTERS.finditer(word.decode().lower()):
+                runs.append(START + match.group())
+                owners.append(base + k)
+                if len(runs) >= PART_RUNS:
+                    settle()
+        settle()
         number.update(zip(words, range(base, base + len(words)), strict=True))
+        held[0] += sum(map(len, words))
 
     def totals(texts: list[bytes]):
         """Summed word vectors of some texts, whose new words are learned together."""
@@ -250,12 +304,11 @@ def _predictor(languages: list[str], theta: np.ndarray, vocabulary: str):
                 try:
                     at = np.fromiter(map(number.__getitem__, part), np.int64, len(part))
                 except KeyError:
-                    near = set(part).union(*parts) if lo == 0 and sum(map(len, parts)) <= CACHED_WORDS // 2 else set(part)
-                    new = [w for w in near if w not in number]
-                    if len(number) + len(new) > CACHED_WORDS:
+                    near = set(part).union(*parts) if lo == 0 and sum(map(len, parts)) <= PART_WORDS else set(part)
+                    if len(number) > CACHED_WORDS or held[0] > CACHED_BYTES:
                         number.clear()
-                        new = list(near)
-                    learn(new)
+                        held[0] = 0
+                    learn([w for w in near if w not in number])
                     at = np.fromiter(map(number.__getitem__, part), np.int64, len(part))
                 total += known[at].sum(axis=0)
             yield total
@@ -300,7 +353,7 @@ def predict(texts: DataFrame, languages: list[str], theta: np.ndarray, vocabular
             best, score, lettered = predicted(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(lettered, pa.int64())], names=["doc_id", "lang_pred", "score", "n_letter_words"])
 
-    return texts.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, n_letter_words long")
+    return mapped(texts, run, f"doc_id {kind}, lang_pred string, score double, n_letter_words long")
 
 
 def relabelled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None) -> DataFrame:
@@ -318,7 +371,7 @@ def relabelled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             best = pa.array(predicted(batch.column(text_at))[0], pa.string())
             yield batch.set_column(lang_at, batch.schema.field(lang_at), best.cast(batch.schema.field(lang_at).type)).filter(pc.not_equal(best, UNDETERMINED))
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -152,6 +152,45 @@ def test_forward_sums_all_segmentations():
     assert counts.sum() > 0 and np.isclose(sum(len(p) * counts[k] for p, k in vocabulary.items() if counts[k]), 3 * 4)
 
 
+def test_long_words_go_by_blocks(monkeypatch):
+    """The same sums and expected counts whatever the block; nothing underflows in a word of 20,000 letters."""
+    import numpy as np
+
+    path = langid.default_vocabulary()
+    theta = np.random.default_rng(1).random((len(langid.pieces(path)) + 2, 3)) * 1e-3
+    theta[-2], theta[-1] = langid.UNKNOWN, 0
+    rng = random.Random(3)
+    words = ["▁" + "".join(rng.choice("aeinrst") for _ in range(n)) for n in (1, 15, 16, 17, 60, 60, 333)] + ["▁日本語", "▁" + "ab" * 10_000]
+    times = np.arange(1.0, len(words) + 1)
+    whole, counts = langid.log_probabilities(words, path, theta), langid.expected_counts(words, times, path, theta[:, 1])
+    monkeypatch.setattr(langid, "BLOCK", 16)
+    monkeypatch.setattr(langid, "TOGETHER", 100)
+    assert np.allclose(langid.log_probabilities(words, path, theta), whole) and np.isfinite(whole).all()
+    assert np.allclose(langid.expected_counts(words, times, path, theta[:, 1]), counts)
+    sizes = np.array([len(p) for p in langid.pieces(path)] + [1, 0])
+    assert np.isclose((counts * sizes).sum(), sum(t * len(w) for t, w in zip(times, words, strict=True)))
+
+
+def test_language_caches_may_overflow(monkeypatch):
+    import base64
+
+    import numpy as np
+    import pyarrow as pa
+
+    path = langid.default_vocabulary()
+    theta = np.random.default_rng(2).random((len(langid.pieces(path)) + 2, 2)) * 1e-3
+    theta[-2], theta[-1] = langid.UNKNOWN, 0
+    rng = random.Random(4)
+    blob = base64.b64encode(rng.randbytes(40_000)).decode()  # one word of thousands of letter runs
+    texts = [blob, "½ ² 3 ①", "½x", "a" * 3000, None, "", *(" ".join(blob[rng.randrange(9000) :][:9] for _ in range(60)) for _ in range(40)), blob + " " + blob]
+    want = langid._predictor(["a", "b"], theta, path)(pa.array(texts))
+    assert want[0][1] == want[0][4] == "und" and want[0][2] != "und" and want[2][0] > 1000 and want[2][-1] == 2 * want[2][0]
+    for name, value in (("CACHED_WORDS", 7), ("CACHED_RUNS", 5), ("CACHED_BYTES", 50), ("PART_WORDS", 9), ("PART_RUNS", 11), ("TEXT_BYTES", 300)):
+        monkeypatch.setattr(langid, name, value)
+        got = langid._predictor(["a", "b"], theta, path)(pa.array(texts))
+        assert got[0] == want[0] and got[2] == want[2] and np.allclose(got[1], want[1])
+
+
 def test_every_letter_piece_of_the_vocabulary_is_used():
     import sentencepiece
 
