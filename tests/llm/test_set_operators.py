@@ -97,40 +97,60 @@ def test_components(spark, local):
         assert got.get(node, node) == find(node)
 
 
-def brute_repeats(rows, length=400):
-    count = collections.Counter()
-    data = [(i, (t or "").encode()) for i, t in rows]
-    for _, b in data:
+def brute_repeats(rows, length=400, passage=51):
+    count, holders = collections.Counter(), collections.defaultdict(set)
+    data = [(i, (t or "").encode(), WORD.findall(t or "")) for i, t in rows]
+    for row, (_, b, w) in enumerate(data):
         count.update(b[k : k + length] for k in range(len(b) - length + 1))
+        for k in range(len(w) - passage + 1):
+            holders[tuple(w[k : k + passage])].add(row)
+    n_runs = lambda mask: int((np.diff(np.r_[0, mask.astype(np.int8)]) == 1).sum())
     out = []
-    for i, b in data:
-        gone = np.zeros(len(b), bool)
+    for i, b, w in data:
+        gone, again = np.zeros(len(b), bool), np.zeros(len(w), bool)
         for k in range(len(b) - length + 1):
             if count[b[k : k + length]] > 1:
                 gone[k : k + length] = True
-        out.append((i, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+        for k in range(len(w) - passage + 1):
+            if len(holders[tuple(w[k : k + passage])]) > 1:
+                again[k : k + passage] = True
+        out.append((i, len(b), int(gone.sum()), n_runs(gone), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest(), int(again.sum()), n_runs(again)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [1 << 12, suffixes.BLOCK_BYTES])
-def test_repeats(spark, monkeypatch, block):
-    monkeypatch.setattr(suffixes, "BLOCK_BYTES", block)
+REPEATS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "n_passages"]
+#: Usual bounds; small blocks and every bucket whole; every bucket split by window.
+BOUNDS = [suffixes.DEFAULT, suffixes.Bounds(chunk=500, samples=20, kept=2000, block=1 << 12, hot=1 << 40), suffixes.Bounds(samples=50, kept=5000, hot=2), suffixes.Bounds(hot=3, hot_grams=5)]
+
+
+@pytest.mark.parametrize("bounds", BOUNDS)
+def test_repeats(spark, bounds):
     rng = random.Random(9)
     noise = lambda n: "".join(rng.choice("xyzw é") for _ in range(n))
     passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
     rows = ODD + [(1, "a" * 3000), (2, noise(300) + passage[:500] + noise(100)), (3, noise(50) + passage[90:] + noise(500)), (4, passage[:399]), (5, passage[200:599] + noise(9)), (6, passage[200:600] + noise(9)), (7, "ab" * 400), (8, noise(450) * 3), (9, passage[:450] + passage[300:880])]
     rows += [(10 + k, noise(rng.randrange(0, 300)) + passage[k * 7 : k * 7 + 420 + k] + noise(60)) for k in range(25)] + [(60, rows[-1][1]), (61, noise(2000)), (62, "ß" * 401)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "cls": F.lit("x"), "n_bytes": F.lit(2)})
-    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(df).collect())
-    assert got == brute_repeats(rows)
+    assert sorted(tuple(r) for r in suffixes.remove_repeats(df, bounds=bounds).select(REPEATS).collect()) == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("bounds", BOUNDS)
+def test_passages_of_over_fifty_words(spark, bounds):
+    """Shorter than 400 bytes, in other white space; shared by many; repeated in one text alone; runs of one word."""
+    rng = random.Random(19)
+    prose = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(n)]
+    one, two, own = prose(51), prose(70), prose(60)
+    rows = [(1, " ".join(prose(30) + one + prose(9))), (2, "\n".join(prose(12) + one + prose(40))), (3, " ".join(one[:50] + prose(40))), (4, " ".join(own + prose(5) + own)), (5, "the " * 300), (6, " ".join(["the"] * 51 + prose(20))), (7, "so " * 200)]
+    rows += [(10 + k, " ".join(prose(rng.randrange(60)) + two[k % 5 : 60 + k % 9] + prose(rng.randrange(60)))) for k in range(30)] + [(50, rows[0][1]), (51, " ".join(prose(51))), (52, rows[0][1].upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in suffixes.remove_repeats(df, bounds=bounds).select(REPEATS).collect()) == brute_repeats(rows)
 
 
-def test_repeats_of_one_text_and_long_chunks(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "CHUNK", 700)
+def test_repeats_of_one_text_and_long_chunks(spark):
     rng = random.Random(10)
     noise = "".join(rng.choice("abcdef") for _ in range(3000))
     rows = [(1, noise[:2500] + "#" + noise[700:1900]), (2, None)]
-    got = sorted(tuple(r) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = sorted(tuple(r) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bounds=suffixes.Bounds(chunk=700)).collect())
     assert got == brute_repeats(rows)
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
