@@ -53,7 +53,7 @@ def brute_classes(rows):
     return sorted((rows[k][0], len(sets[k]), least[find(k)]) for k in range(len(rows)))
 
 
-@pytest.mark.parametrize("config", [{}, {"SHORT_LIST": 2, "ROW_BLOCK": 3, "COLUMN_BLOCK": 50}, {"SHORT_LIST": 2, "FAMILY_BLOCK": 10, "COMMON": 1, "FREQUENT": 2}, {"FREQUENT": 10**9, "SHORT_LIST": 4, "LEADERS": 1}])
+@pytest.mark.parametrize("config", [{}, {"SHORT_LIST": 2, "ROW_BLOCK": 3, "COLUMN_BLOCK": 50}, {"SHORT_LIST": 2, "FAMILY_BLOCK": 10, "COMMON": 1, "FREQUENT": 2}, {"FREQUENT": 10**9, "SHORT_LIST": 4, "LEADERS": 1}, {"FREQUENT": 2, "HOT": 2, "FAMILY_SHINGLES": 200, "HELD_SHINGLES": 500}, {"FREQUENT": 2, "HOT": 1, "BROADCAST_SHINGLES": 0, "BROADCAST_FAMILIES": 0, "BROADCAST_NODES": 0, "LOCAL_EDGES": 0}])
 def test_jaccard_classes(spark, monkeypatch, config):
     for name, value in config.items():
         monkeypatch.setattr(jaccard, name, value)
@@ -63,6 +63,26 @@ def test_jaccard_classes(spark, monkeypatch, config):
     assert got == brute_classes(rows)
 
 
+def test_blocks_skip_only_what_cannot_match():
+    """Against every pair of a list, by sizes and by what is left behind the places."""
+    rng = np.random.default_rng(5)
+    t, num, den = jaccard.THRESHOLD, 3, 4
+    size = rng.integers(4, 60, 400)
+    place = np.array([rng.integers(0, jaccard._prefix_length(int(n), t)) for n in size])
+    run, node = rng.integers(0, 30, 400), rng.integers(0, 300, 400)
+    order = np.lexsort((node, place, size, run))
+    node, size, place, run = node[order], size[order], place[order], run[order]
+    want = []
+    for i in range(400):
+        for j in range(i + 1, 400):
+            if run[i] == run[j] and node[i] != node[j] and den * size[i] >= num * size[j]:
+                left = min(size[i] - place[i], size[j] - place[j]) + jaccard.COMMON - 1
+                if left * (den + num) >= num * (size[i] + size[j]):
+                    want.append((min(node[i], node[j]), max(node[i], node[j]), min(jaccard.COMMON, -(-num * size[j] // den))))
+    got = np.concatenate(jaccard._open_pairs(node, size, place, run, t), axis=1)
+    assert sorted(map(tuple, got.T.tolist())) == sorted(want) and len(want) > 50
+
+
 def test_jaccard_null_ids(spark):
     base = [f"w{k}" for k in range(60)]
     copy, near = " ".join(base), " ".join([*base, "tail"])
@@ -97,6 +117,12 @@ def test_components(spark, local):
         assert got.get(node, node) == find(node)
 
 
+def test_components_must_converge(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError, match="contracted"):
+        jaccard.components(chain, rounds=2, local_edges=0)
+
+
 def brute_repeats(rows, length=400, passage=51):
     count, holders = collections.Counter(), collections.defaultdict(set)
     data = [(i, (t or "").encode(), WORD.findall(t or "")) for i, t in rows]
