@@ -22,7 +22,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import only
+from ._shared import mapped, only
 
 SIGMA = 1.0
 #: HTML element names by their role.
@@ -263,4 +263,4 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 names=["page_id", "url", "text", "n_chars", "n_blocks"],
             )
 
-    return pages.mapInArrow(run, schema)
+    return mapped(pages, run, schema)

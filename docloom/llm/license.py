@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import let, only, staged
+from ._shared import let, mapped, only, staged
 
 COSINE = 0.55
 WHOLE = 0.8
@@ -224,7 +224,7 @@ def scored(distinct: DataFrame, templates=TEMPLATES) -> DataFrame:
                 names=["passage", "license", "template", "score"],
             )
 
-    return distinct.select("passage").mapInArrow(run, "passage string, license string, template int, score double")
+    return mapped(distinct.select("passage"), run, "passage string, license string, template int, score double")
 
 
 def own_licenses(files: DataFrame, cosine: float = COSINE, templates=TEMPLATES) -> DataFrame:
@@ -242,7 +242,7 @@ def own_licenses(files: DataFrame, cosine: float = COSINE, templates=TEMPLATES)
             )
 
     kind = files.schema["file"].dataType.simpleString()
-    return files.mapInArrow(run, f"file {kind}, path string, license string, score double, notice_words long, n_words long")
+    return mapped(files, run, f"file {kind}, path string, license string, score double, notice_words long, n_words long")
 
 
 def ancestors(path: Column) -> Column:

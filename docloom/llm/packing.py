@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import only, staged, worker_cache
+from ._shared import mapped, only, staged, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -155,7 +155,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def _best_pattern(sizes: list[int], value: np.ndarray, capacity: int) -> tuple[float, list[int]]:
