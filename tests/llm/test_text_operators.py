@@ -300,11 +300,31 @@ def test_shards(spark):
     assert max(sizes) - min(sizes) < 0.02 * sum(sizes) / 8
     for s in range(8):
         assert sorted(r["place"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
-    by_text = {(None if t is None else t): zlib.crc32((t or "").encode()) for _, t in rows}
-    assert {r["text_crc32"] for r in got} == set(by_text.values())
+    # sizes and crcs row by row
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=str) == sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows), key=str)
+    # copies lie together unless they are more than a shard takes
+    homes = {}
+    for r in got:
+        homes.setdefault((r["size"], r["text_crc32"]), set()).add(r["shard"])
+    assert {k for k, v in homes.items() if len(v) > 1} == {(1001, zlib.crc32(("copy " * 200).encode()))}
     assert sharding.shard_table(df.where("false"), 8).count() == 0
 
 
+def test_slots_of_many_small_rows_are_cut(spark, tmp_path):
+    """Half of the rows have no text: little in bytes, much to number. The query places by the stored map."""
+    rows = [(k, None if k % 2 else f"text {k} " * 9) for k in range(4000)] + [(None, "no id")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_table(df, 4, path=str(tmp_path / "map")).collect()
+    stored = sharding.read_map(spark, str(tmp_path / "map")).collect()
+    assert {r["version"] for r in stored} == {1} and sum(r["n_rows"] for r in stored) == len(rows)
+    hot = [r for r in stored if r["slot"] == next(g["virtual_slot"] for g in got if g["size"] == 1)]
+    assert len(hot) >= 32 and max(r["n_rows"] for r in hot) < 2000 / 8 and len({r["shard"] for r in hot}) == 1
+    for s in range(4):
+        assert sorted(r["place"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    again = sharding.sharded(df, sharding.read_map(spark, str(tmp_path / "map"))).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, got), key=str)
+
+
 def test_rebalancing_moves_few_slots(spark, tmp_path):
     weights = [(k, -1, 1000 + k % 7, 1) for k in range(400)]
     first = sharding.first_map(weights, 8)
