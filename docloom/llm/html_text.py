@@ -3,14 +3,21 @@
 The standard library's parser streams events once over each page; block-level tags cut the page into lines.
 Every line has a text-to-tag ratio (characters per tag, at least one tag), the ratios are smoothed by a
 Gaussian over neighbouring lines, and lines are clustered by a threshold set by the page's own spread. The region is
-the page's ``main`` parts, else the innermost container that holds the whole content cluster. All text blocks of that
-region, and h1 headings outside it, are returned in page order. Boilerplate containers (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments) never give lines. They are known by element, role
-or a noise word in class or id; one known by class or id alone that holds most of the content cluster stays, and class
-names that state a layout (has-, no-, with-, -open, -enabled) name no boilerplate.
-
-Null or empty html, and pages without text: empty string. Unclosed and stray tags are tolerated. Pages are
-independent of one another; repeated rows give equal results.
+the page's ``main`` parts, else the innermost container that holds the whole content cluster: with the ``article`` parts
+beside it if it is one, else widened to the containers around it below the body as long as that adds no line made
+mostly of links (a lead above the story stays, a list of links doesn't come in). All text blocks of that region, and h1 headings outside it, are returned in page order.
+
+Boilerplate containers (menus, headers, footers, sidebars, notices, adverts, scripts, styles, reader comments) never give
+lines. They are known by element, role or a noise word in class or id; forms, and containers known by class or id alone,
+stay if they hold most of the content cluster (a page may lie in one form as a whole). Of a compound name the noise word
+must be the last word or be followed by words for parts of a page only (``related-posts``, not ``related-work``), and names
+that state a layout (has-, no-, with-, -open, -enabled) name no boilerplate.
+
+Containers are numbered and point to their parents, and open elements are looked up by name, so nested and very long
+pages take time in proportion. Null or empty html, and pages without text: empty string. Unclosed and stray tags are
+tolerated. Ties: of containers that hold the whole cluster the innermost is the region. Pages are independent of one
+another; repeated rows get equal results; null ids and urls are passed on; extra columns play no part. Empty table:
+empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template head nav footer aside form button select textarea iframe object svg canvas menu dialog".split())
+SKIPPED = frozenset("script style noscript template head nav footer aside button select textarea iframe object svg canvas menu dialog".split())
 CLOSES_P = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "title", "legend", "summary"}
 SELF_NESTING_OFF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table menu article section main aside nav div body".split())
@@ -40,6 +47,9 @@ NOISE = frozenset(
 #: Words that make a class name a statement about layout or state, not a name of the container's role.
 MODIFIERS = frozenset("has have no not non with without hide show".split())
 STATES = frozenset("open opened closed enabled disabled on off active visible hidden".split())
+PARTS = frozenset(
+    "area articles bar block bottom box button buttons container content entries extra feed footer form group header holder icon icons inner inside item items label left link links list main menu more news outer panel posts right row section sections slot slots stories strip tabs text title tools top unit units widget widgets wrap wrapper zone".split()
+)
 #: A container with this share of the content cluster's characters isn't boilerplate, if it is named by a noise word
 #: alone or by a compound with one.
 NAMED_SHARE, COMPOUND_SHARE = 0.9, 0.5
@@ -56,59 +66,79 @@ def noise_share(value: str) -> float | None:
         words = re.split("[_-]+", token)
         if not MODIFIERS.isdisjoint(words) or words[-1] in STATES:
             continue
-        if not NOISE.isdisjoint(words):
+        first = next((k for k, word in enumerate(words) if word in NOISE), len(words))
+        if first < len(words) and all(word in NOISE or word in PARTS or word.isdigit() for word in words[first:]):
             share = COMPOUND_SHARE
     return share
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into block lines: (text, tags, path of open containers)."""
+    """Cuts a page into block lines: (text, tags, innermost container). Container 0 is the page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, int, bool]] = []  # name, container id, starts a skipped part
+        self.lines: list[tuple[str, int, int]] = []
+        self.stack: list[tuple[str, int, bool, int]] = []  # name, container, starts a skipped part, blocks up to here
+        self.places: dict[str, list[int]] = {}  # where the open elements of a name are in the stack
+        self.scopes: list[int] = []
         self.skipping = 0
         self.text: list[str] = []
         self.tags = 0
-        self.ids = 0
-        self.kinds: dict[int, str] = {}
+        self.parents = [-1]
+        self.kinds = [""]
+        self.inside = 0
         self.noise: dict[int, float] = {}  # containers named like noise, with their limit
         self.titles: set[int] = set()  # lines inside h1
-        self.in_titles = 0
+        self.links: list[bool] = []  # lines made mostly of links
+        self.linked = 0
 
     def _flush(self) -> None:
         if self.text:
             line = SPACE.sub(" ", "".join(self.text)).strip()
             self.text.clear()
             if line:
-                if self.in_titles:
+                if self.places.get("h1"):
                     self.titles.add(len(self.lines))
-                self.lines.append((line, self.tags, tuple(c for _, c, _ in self.stack if c)))
+                self.lines.append((line, self.tags, self.inside))
+                self.links.append(2 * self.linked > len(line))
                 self.tags = 0
+            self.linked = 0
+
+    def _last(self, tag: str) -> int:
+        """The place of the innermost open element of a name, or -1."""
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def _push(self, tag: str, container: int, skip: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append((tag, container, skip, (self.stack[-1][3] if self.stack else 0) + (tag in BLOCKS)))
+        self.skipping += skip
+        if container:
+            self.inside = container
 
     def _pop(self, to: int) -> None:
         while len(self.stack) > to:
-            tag, _, skip = self.stack.pop()
+            tag, container, skip, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
             self.skipping -= skip
-            self.in_titles -= tag == "h1"
+            if container:
+                self.inside = self.parents[container]
+
+    def _end_inside_scope(self, tags) -> None:
+        """End the innermost open element of some names unless a scope lies inside it."""
+        at = max(self._last(tag) for tag in tags)
+        if at >= 0 and at >= (self.scopes[-1] if self.scopes else -1):
+            self._pop(at)
 
     def _implied_ends(self, tag: str) -> None:
         if tag in CLOSES_P:
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] == "p":
-                    self._pop(k)
-                    break
-                if self.stack[k][0] in SCOPE:
-                    break
-        ended = SELF_NESTING_OFF.get(tag)
-        if ended:
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] in ended:
-                    self._pop(k)
-                    break
-                if self.stack[k][0] in SCOPE:
-                    break
+            self._end_inside_scope(("p",))
+        if tag in SELF_NESTING_OFF:
+            self._end_inside_scope(SELF_NESTING_OFF[tag])
 
     def handle_starttag(self, tag: str, attrs) -> None:
         block = tag in BLOCKS
@@ -121,8 +151,8 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        noise = None
-        skip = tag in SKIPPED or (tag == "header" and not any(n in ("article", "main") for n, _, _ in self.stack))
+        noise = NAMED_SHARE if tag == "form" else None
+        skip = tag in SKIPPED or (tag == "header" and self._last("article") < 0 and self._last("main") < 0)
         if not skip and block and tag not in ("html", "body", "article", "main", "p") and not (len(tag) == 2 and tag[0] == "h"):
             for name, value in attrs:
                 if value and name == "role" and value.lower() in NOISE_ROLES:
@@ -132,14 +162,12 @@ class _Lines(HTMLParser):
                     noise = max(noise or 0.0, share)
         container = 0
         if block and tag != "p" and not (tag[0] == "h" and tag[1:].isdigit()):
-            self.ids += 1
-            container = self.ids
-            self.kinds[container] = tag
+            container = len(self.kinds)
+            self.kinds.append(tag)
+            self.parents.append(self.inside)
             if noise and not skip:
                 self.noise[container] = noise
-        self.stack.append((tag, container, skip))
-        self.skipping += skip
-        self.in_titles += tag == "h1"
+        self._push(tag, container, skip)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         if tag in VOID or tag not in BLOCKS:
@@ -155,18 +183,16 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self._flush()
         self.tags += 1
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                if k:
-                    inside = self.stack[k]
-                    if not inside[1] and tag not in BLOCKS and any(n in BLOCKS for n, _, _ in self.stack[k + 1 :]):
-                        return  # an inline end tag can't close blocks opened after it
-                self._pop(k)
-                return
+        at = self._last(tag)
+        if at < 0 or (at > 0 and tag not in BLOCKS and self.stack[-1][3] > self.stack[at][3]):
+            return  # nothing to end, or an inline end tag that can't close blocks opened after it
+        self._pop(at)
 
     def handle_data(self, data: str) -> None:
         if not self.skipping:
             self.text.append(data)
+            if self.places.get("a"):
+                self.linked += len(data)
 
     def close(self) -> None:
         super().close()
@@ -188,7 +214,7 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def _cluster(lines: list[tuple[str, int, tuple[int, ...]]]) -> list[bool]:
+def _cluster(lines: list[tuple[str, int, int]]) -> list[bool]:
     """Which lines belong to the content cluster."""
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
     mean = sum(ratios) / len(ratios)
@@ -197,33 +223,51 @@ def _cluster(lines: list[tuple[str, int, tuple[int, ...]]]) -> list[bool]:
     return [r >= threshold for r in ratios]
 
 
-def content_region(lines: list[tuple[str, int, tuple[int, ...]]], kinds: dict[int, str]) -> set[int]:
+def _held(weights: list[tuple[int, int]], parents: list[int]) -> list[int]:
+    """The sum of the weights (container, weight) at or below each container. Parents come before their parts."""
+    total = [0] * len(parents)
+    for container, weight in weights:
+        total[container] += weight
+    for container in range(len(parents) - 1, 0, -1):
+        total[parents[container]] += total[container]
+    return total
+
+
+def _below(roots: set[int], parents: list[int]) -> list[bool]:
+    """Which containers are or lie in one of some containers."""
+    inside = [k in roots for k in range(len(parents))]
+    for container in range(1, len(parents)):
+        inside[container] |= inside[parents[container]]
+    return inside
+
+
+LISTS = frozenset("li ul ol td tr table tbody blockquote pre dd dt dl figure figcaption".split())
+
+
+def content_region(lines: list[tuple[str, int, int]], links: list[bool], kinds: list[str], parents: list[int]) -> set[int]:
     """The containers whose lines are the main text: the page's ``main`` parts, else the innermost container that
-    holds the whole content cluster; empty for the page."""
-    paths = [path for (_, _, path), inside in zip(lines, _cluster(lines), strict=True) if inside]
-    if any(kinds[c] == "main" for path in paths for c in path):
-        return {c for c, kind in kinds.items() if kind == "main"}
-    shared = paths[0]
-    for path in paths:
-        same = 0
-        while same < min(len(shared), len(path)) and shared[same] == path[same]:
-            same += 1
-        shared = shared[:same]
-    held = [c for c in shared if kinds[c] not in ("li", "ul", "ol", "td", "tr", "table", "tbody", "blockquote", "pre", "dd", "dt", "dl", "figure", "figcaption")]
-    return {held[-1]} if held else set()
-
-
-def noise_containers(lines: list[tuple[str, int, tuple[int, ...]]], noise: dict[int, float]) -> set[int]:
+    holds the whole content cluster, with the articles beside it or widened; container 0 is the page."""
+    cluster = [(container, 1) for (_, _, container), inside in zip(lines, _cluster(lines), strict=True) if inside]
+    mains = {k for k, kind in enumerate(kinds) if kind == "main"}
+    in_main = _below(mains, parents)
+    if any(in_main[container] for container, _ in cluster):
+        return mains
+    held = _held(cluster, parents)
+    region = max(k for k, n in enumerate(held) if n == len(cluster))
+    while region and kinds[region] in LISTS:
+        region = parents[region]
+    if kinds[region] == "article":
+        return {k for k, kind in enumerate(kinds) if kind == "article" and parents[k] == parents[region]}
+    linked = _held([(container, int(link)) for (_, _, container), link in zip(lines, links, strict=True)], parents)
+    while region and parents[region] and kinds[parents[region]] not in ("body", "html") and linked[parents[region]] == linked[region]:
+        region = parents[region]
+    return {region}
+
+
+def noise_containers(lines: list[tuple[str, int, int]], noise: dict[int, float], parents: list[int]) -> set[int]:
     """The containers named like noise that don't hold most of the page's content lines."""
-    weight = dict.fromkeys(noise, 0)
-    total = 0
-    for (text, _, path), inside in zip(lines, _cluster(lines), strict=True):
-        if inside:
-            total += len(text)
-            for c in path:
-                if c in weight:
-                    weight[c] += len(text)
-    return {c for c, share in noise.items() if weight[c] <= share * total}
+    held = _held([(container, len(text)) for (text, _, container), inside in zip(lines, _cluster(lines), strict=True) if inside], parents)
+    return {c for c, share in noise.items() if held[c] <= share * held[0]}
 
 
 def extract(html: str | None) -> list[str]:
@@ -235,18 +279,19 @@ def extract(html: str | None) -> list[str]:
     parser.close()
     if not parser.lines:
         return []
-    noise = noise_containers(parser.lines, parser.noise) if parser.noise else set()
-    lines, titles, tags = [], [], 0
-    for k, (text, own, path) in enumerate(parser.lines):
+    noisy = _below(noise_containers(parser.lines, parser.noise, parser.parents) if parser.noise else set(), parser.parents)
+    lines, titles, links, tags = [], [], [], 0
+    for k, (text, own, container) in enumerate(parser.lines):
         tags += own
-        if noise.isdisjoint(path):
-            lines.append((text, tags, path))
+        if not noisy[container]:
+            lines.append((text, tags, container))
             titles.append(k in parser.titles)
+            links.append(parser.links[k])
             tags = 0
     if not lines:
         return []
-    region = content_region(lines, parser.kinds)
-    return [text for (text, _, path), title in zip(lines, titles, strict=True) if not region or title or not region.isdisjoint(path)]
+    region = _below(content_region(lines, links, parser.kinds, parser.parents), parser.parents)
+    return [text for (text, _, container), title in zip(lines, titles, strict=True) if title or region[container]]
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

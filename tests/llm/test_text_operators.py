@@ -379,6 +379,51 @@ def test_wrappers_named_like_noise_keep_the_article(attribute):
     assert html_text.extract(html) == ["Title", story, story]
 
 
+def test_parts_of_an_article_with_compound_names_stay():
+    long, part = ("long text here " * 30).strip(), ("part of the story " * 12).strip()
+    page = lambda name: f"<article><h1>T</h1><p>{long}</p><div {name}><p>{part}</p></div></article>"
+    for name in ('class="social-science"', 'id="related-work"', 'class="ad-hoc-methods"', 'class="comment-on-method"'):
+        assert html_text.extract(page(name)) == ["T", long, part], name
+    for name in ('class="related-posts"', 'id="post-comments"', 'class="ad-slot-2"', 'class="social-share-buttons"', 'class="site-nav-wrap"'):
+        assert html_text.extract(page(name)) == ["T", long], name
+
+
+def test_articles_beside_one_another_and_leads_stay():
+    long, other = ("long text here " * 60).strip(), ("long body two " * 60).strip()
+    assert html_text.extract(f"<article><p>{long}</p></article><article><p>short one</p></article>") == [long, "short one"]
+    assert html_text.extract(f"<body><div class=page><div class=lead><p>short intro</p></div><div class=story><p>{long}</p><p>{other}</p></div></div></body>") == ["short intro", long, other]
+    links = "<ul>" + "<li><a href=x>one link</a>" * 5 + "</ul>"
+    assert html_text.extract(f"<body><div class=page>{links}<div class=story><p>{long}</p><p>{other}</p></div></div></body>") == [long, other]
+
+
+def test_a_page_may_lie_in_a_form():
+    long = ("long text here " * 30).strip()
+    assert html_text.extract(f"<body><form action=x><div><h1>T</h1><p>{long}</p><input name=q><select><option>no</select></div></form></body>") == ["T", long]
+    assert html_text.extract(f"<div><p>{long}</p><form><label>Name</label><p>Subscribe please</p></form></div>") == [long]
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<span>", "<ul><li>x", "<div></b>x", "<b><p>x</b>"])
+def test_deeply_nested_pages_take_time_in_proportion(piece):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_text.extract(piece * n + "<h2>y</i></b>" * n)
+        return time.process_time() - began
+
+    assert seconds(20_000) < 25 * max(0.05, seconds(2_000))  # quadratic work would take 100 times as long
+
+
+def test_ties_and_clashing_columns(spark):
+    """Equal parts count alike: both stay. Repeated rows and null ids get results like others."""
+    html = "<div><p>same words here</p></div><div><p>same words here</p></div>"
+    rows = [(1, "u", html), (1, "u", html), (None, None, html), (2, None, "x" * 300_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("x"), "n_blocks": F.lit(0.5)})
+    got = html_text.extract_pages(df).collect()
+    assert [r["text"] for r in got if r["page_id"] != 2] == ["same words here\nsame words here"] * 3
+    assert [r["n_chars"] for r in got if r["page_id"] == 2] == [300_000]
+
+
 def test_several_entries_with_states_stay():
     story = ("story words " * 50).strip()
     assert html_text.extract(f"<div class='entry share-enabled'><p>{story}</p></div>" * 3) == [story] * 3
