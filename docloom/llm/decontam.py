@@ -11,11 +11,14 @@ verified by the exact weighted Jaccard similarity of the shingles (sum of minima
 At similarity 0.75 the expected distance is 11 bits with a deviation of 3, so the radius of 23 lies four deviations
 out; equal windows have distance 0.
 
-The benchmark's shingles are taken in blocks of ``BENCHMARK_BLOCK`` (a stated query set against all rows): each block
-is a constant set inside one scan of the texts, so no text is shuffled.
+The texts' shingles are met with the benchmark's as rows of two numbers: inside the scan while the benchmark's shingles are
+few enough to be broadcast (counted first), else by a shuffle. Texts that share one are read again for their windows.
 
 Items of fewer than five words are one shingle of all their words and are looked for in the texts' windows of that many
-words; similarity is 1 or 0 there. Null and empty texts and items match nothing. Repeated rows of an id give one row per (doc_id, item_id), the best window. Empty tables give an empty result.
+words; similarity is 1 or 0 there. Null and empty texts and items match nothing. Very long texts: windows are cut out
+of ``CHUNK`` neighbouring ones together, so a text is never copied for each of its windows. Ties: of equally similar windows
+the first counts. Rows with null ids are one id; repeated rows of an id give one row per (doc_id, item_id), the best
+window. Extra columns play no part. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,11 @@ BLOCKS = 8
 BLOCK_BITS = 8
 BLOCK_RADIUS = 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-BENCHMARK_BLOCK = 100_000
+#: Places of the benchmark's shingles, and texts with their windows, that are broadcast; beyond, they are shuffled.
+BROADCAST_PLACES = 1_000_000
+BROADCAST_TEXTS = 50_000
+#: Windows of a text that are cut out together.
+CHUNK = 256
 #: Items whose multi-index (37 x 8 rows an item) is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ITEMS = 4_000
 
@@ -90,48 +97,46 @@ def short_item_table(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return items.select("item_id", F.size("words").alias("size"), F.xxhash64(*[F.get("words", F.lit(k)) for k in range(SHINGLE - 1)]).alias("gram"))
 
 
+def _small(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _met(texts: DataFrame, grams: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, mark, n, p, and the columns of ``grams``): the places of some shingles in the texts. n: the text's shingles;
+    mark: a hash of the text, which tells texts of one id apart."""
+    hashed = texts.select("doc_id", F.xxhash64("text").alias("mark"), shingles(F.col("text"), size).alias("hs")).where("hs is not null")
+    each = hashed.select("doc_id", "mark", F.size("hs").alias("n"), F.posexplode("hs").alias("p", "gram"))
+    return each.join(_small(grams, BROADCAST_PLACES), "gram")
+
+
 def short_contaminations(texts: DataFrame, items: DataFrame) -> DataFrame | None:
     """Rows like those of ``contaminations``: the first place of each short item in each text; None without such items."""
     found = None
-    for size in sorted(r["size"] for r in items.select("size").distinct().collect()):
-        own = items.where(F.col("size") == size)
-        grams = sorted(r["gram"] for r in own.select("gram").distinct().toLocalIterator())
-        hashed = texts.select("doc_id", shingles(F.col("text"), size).alias("hs"))
-        for lo in range(0, len(grams), BENCHMARK_BLOCK):
-            hits = _hits(hashed, grams[lo : lo + BENCHMARK_BLOCK]).select("doc_id", F.explode("hits").alias("hit")).groupBy("doc_id", F.col("hit.gram").alias("gram")).agg(F.min("hit.p").cast("long").alias("start"))
-            part = hits.join(own, "gram").select("doc_id", "item_id", "start", F.col("size").cast("long").alias("n_words"), F.lit(0).cast("long").alias("hamming"), F.lit(1.0).alias("similarity")).groupBy("doc_id", "item_id").agg(*[F.min(c).alias(c) for c in ("start", "n_words", "hamming", "similarity")])
-            found = part if found is None else found.union(part)
+    for size in sorted(r["size"] for r in items.select("size").distinct().collect()):  # 1 to 4
+        own = items.where(F.col("size") == size).select("item_id", "gram")
+        hits = _met(texts, own.select("gram").distinct(), size).groupBy("doc_id", "gram").agg(F.min("p").cast("long").alias("start"))
+        part = hits.join(own, "gram").groupBy("doc_id", "item_id").agg(F.min("start").alias("start"), F.lit(size).cast("long").alias("n_words"), F.lit(0).cast("long").alias("hamming"), F.lit(1.0).alias("similarity"))
+        found = part if found is None else found.union(part)
     return found
 
 
-def _hits(hashed: DataFrame, grams: list[int]) -> DataFrame:
-    """(doc_id, hs, hits): the places of a constant set of shingles, for the texts that have any."""
-    members = ", ".join(f"{g}L" if g > -(1 << 63) else "(-9223372036854775807L - 1L)" for g in grams)
-    return hashed.where(F.expr(f"exists(hs, x -> x in ({members}))")).select("doc_id", "hs", F.expr(f"filter(transform(hs, (x, i) -> named_struct('gram', x, 'p', i)), s -> s.gram in ({members}))").alias("hits"))
-
-
 def windows(texts: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, start, n_grams, own): distinct item-sized windows that share a shingle with an item of that size.
 
     n_grams is the item's size; ``own`` are the window's shingles (fewer at a text's edge).
     """
-    places = staged(items.select("item_id", "n_grams", F.posexplode("grams").alias("q", "gram")).groupBy("gram", "q", "n_grams").agg(F.count("*").alias("items")), "item-shingles")
-    grams = sorted(r["gram"] for r in places.select("gram").distinct().toLocalIterator())
-    hashed = texts.select("doc_id", shingles(F.col("text")).alias("hs"))
-    found = []
-    for lo in range(0, len(grams), BENCHMARK_BLOCK):
-        found.append(_hits(hashed, grams[lo : lo + BENCHMARK_BLOCK]))
-    if not found:
-        return texts.sparkSession.createDataFrame([], f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, start int, n_grams int, own array<bigint>")
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.union(more)
-    if len(grams) <= BENCHMARK_BLOCK:
-        places = F.broadcast(places)
-    at = hits.select("doc_id", "hs", F.explode("hits").alias("hit")).select("doc_id", "hs", "hit.gram", "hit.p").join(places, "gram")
+    places = staged(items.select("n_grams", F.posexplode("grams").alias("q", "gram")).distinct(), "item-shingles")
     first = F.greatest(F.col("p") - F.col("q"), F.lit(0))
-    last = F.least(F.col("p") - F.col("q") + F.col("n_grams"), F.size("hs"))
-    return at.select("doc_id", first.alias("start"), "n_grams", F.slice("hs", first + 1, last - first).alias("own")).dropDuplicates(["doc_id", "start", "n_grams", "own"])
+    last = F.least(F.col("p") - F.col("q") + F.col("n_grams"), F.col("n"))
+    met = _met(texts, places).select("doc_id", "mark", F.struct(first.alias("start"), last.alias("end"), "n_grams").alias("w")).distinct()
+    found = staged(met.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("w")).alias("windows")), "windows")
+    wanted = _small(found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "windows"), BROADCAST_TEXTS)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    again = texts.withColumn("mark", F.xxhash64("text")).join(wanted, same).select("doc_id", shingles(F.col("text")).alias("hs"), "windows")
+    chunk = f"slice(windows, k * {CHUNK} + 1, {CHUNK})"
+    cut = again.select("doc_id", F.explode(F.expr(f"transform(sequence(0, int((size(windows) - 1) / {CHUNK})), k -> named_struct('some', {chunk}, 'base', {chunk}[0].start, 'part', slice(hs, {chunk}[0].start + 1, array_max(transform({chunk}, w -> w.end)) - {chunk}[0].start)))")).alias("c"))
+    each = cut.select("doc_id", F.explode(F.expr("transform(c.some, w -> named_struct('start', w.start, 'n_grams', w.n_grams, 'own', slice(c.part, w.start - c.base + 1, w.end - w.start)))")).alias("x"))
+    return each.select("doc_id", "x.start", "x.n_grams", "x.own").dropDuplicates(["doc_id", "start", "n_grams", "own"])
 
 
 def contaminations(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

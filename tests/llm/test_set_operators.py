@@ -233,12 +233,36 @@ def test_decontamination(spark):
     assert decontam.contaminations(df, bench.where("false")).count() == 0 and decontam.contaminations(df.where("false"), bench).count() == 0
 
 
-def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
+def test_large_benchmarks_and_many_windows_give_the_same(spark, monkeypatch):
     items = [(k, " ".join(f"t{k}_{j}" for j in range(12))) for k in range(12)]
-    rows = [(k, f"before {t} after") for k, t in items]
+    rows = [(k, f"before {t} after") for k, t in items] + [(100, " ".join(t for _, t in items)), (None, items[0][1]), (None, items[1][1] + " end"), (3, items[4][1])]
     df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontam, "BENCHMARK_BLOCK", 10)
-    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminations(df, bench).collect()) == [(k, k) for k in range(12)]
+    want = sorted([(str(k), k) for k in range(12)] + [("100", k) for k in range(12)] + [("None", 0), ("None", 1), ("3", 4)])
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in decontam.contaminations(df, bench).collect()) == want
+    for name, value in (("BROADCAST_PLACES", 3), ("BROADCAST_TEXTS", 3), ("BROADCAST_ITEMS", 3), ("CHUNK", 2)):
+        monkeypatch.setattr(decontam, name, value)
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in decontam.contaminations(df, bench).collect()) == want
+
+
+def test_recall_near_the_threshold(spark):
+    """Against brute force, on passages whose best window has a similarity of 0.75 to 0.85."""
+    rng = random.Random(21)
+    text = lambda n: [f"v{rng.randrange(4000)}" for _ in range(n)]
+    items = [(k, " ".join(text(rng.choice([30, 60, 90])))) for k in range(60)]
+    rows = []
+    for k in range(600):
+        words = items[k % 60][1].split()
+        for _ in range(rng.choice([1, 1, 2, 2])):
+            words[rng.randrange(len(words))] = "edited"
+        rows.append((k, " ".join(text(20) + words + text(20))))
+    want = {}
+    for k, t in rows:  # edits keep places: the windows to compare are those that share a shingle's place
+        g, q = grams(t), grams(items[k % 60][1])
+        best = max(sum((collections.Counter(g[s : s + len(q)]) & collections.Counter(q)).values()) / sum((collections.Counter(g[s : s + len(q)]) | collections.Counter(q)).values()) for s in (19, 20, 21))
+        if 0.75 <= best <= 0.85:
+            want[k] = round(best, 9)
+    got = {r["doc_id"]: round(r["similarity"], 9) for r in decontam.contaminations(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 100 and sum(got.get(k) == v for k, v in want.items()) >= 0.99 * len(want)
 
 
 def test_short_items_are_found_verbatim(spark):
