@@ -11,8 +11,10 @@ passages (a passage around a better one doesn't count); it speaks for its direct
 own inherits from the nearest ancestor directory that has a licence file: its ancestor paths are joined with those
 directories and the deepest wins.
 
-Null and empty texts have no passage but may inherit; null paths inherit nothing. Ties go to the higher score, then
-the template first in order, then the least path. Repeated rows get equal results. Empty table: empty result.
+Null and empty texts have no passage but may inherit; null paths inherit nothing; null ids are passed on. Very long texts
+are read line by line, and only lines that could match are joined to longer passages. Ties go to the higher score, then
+the template first in order, then the least path. Repeated rows get equal results. Extra columns play no part. Empty
+table: empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ WHOLE = 0.8
 FILE_SHARE = 0.5
 LICENSE_NAMES = r"(?i)^(un)?(licen[sc]e|copying|notice|copyright)([._-].*)?$"
 EVIDENCE = 2
+#: Directories whose inherited licences are broadcast; beyond, files and directories are joined by a shuffle.
+BROADCAST_DIRECTORIES = 100_000
 #: English function words, which alone are no sign of a licence.
 FUNCTION_WORDS = frozenset("a all an and any are as at be by for from has have if in is it its no not of on or other such than that the their these this to was which with without you".split())
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -48,8 +52,17 @@ _BSD = (
     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
 )
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+)
+_ZLIB = (
+    "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+)
 _GNU = {f"{family}-{version}": tuple(f"{family}-{version}{end}" for end in ("", "-only", "-or-later")) for family, version in (("GPL", "3.0"), ("GPL", "2.0"), ("LGPL", "3.0"), ("AGPL", "3.0"))}
-_SPDX = {k: (k,) for k in ("Apache-2.0", "MIT", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC-BY-4.0", "CC0-1.0", "Unlicense")} | _GNU
+_SPDX = {k: (k,) for k in ("Apache-2.0", "MIT", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC-BY-4.0", "CC0-1.0", "Unlicense", "ISC", "Zlib")} | _GNU
 #: Short notices of public licences, by their public identifiers.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -89,6 +102,10 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("ISC", _ISC[0]),
+    ("ISC", " ".join(_ISC)),
+    ("Zlib", _ZLIB[1]),
+    ("Zlib", " ".join(_ZLIB)),
     *((name, f"SPDX-License-Identifier: {tag}") for name, tags in _SPDX.items() for tag in tags),
 )
 
@@ -245,13 +262,22 @@ def own_licenses(files: DataFrame, cosine: float = COSINE, templates=TEMPLATES)
     return mapped(files, run, f"file {kind}, path string, license string, score double, notice_words long, n_words long")
 
 
-def ancestors(path: Column) -> Column:
-    """(directory, depth) of every ancestor directory of a path, the root being the empty path."""
+def ancestors(directory: Column) -> Column:
+    """(dir, depth) of a directory and all above it, the root being the empty path."""
 
     def of(parts: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda d: F.struct(F.array_join(F.slice(parts, F.lit(1), d), "/").alias("dir"), d.alias("depth")))
+        return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda d: F.struct(F.array_join(F.slice(parts, F.lit(1), d), "/").alias("dir"), d.alias("depth")))
+
+    return let(F.split(directory, "/"), of)
+
 
-    return let(F.split(path, "/"), of)
+def nearest_licenses(own: DataFrame) -> DataFrame:
+    """(of, inherited, inherited_from) for the directories of files without a licence that have one above them. Each
+    directory is looked up once, however many files it holds."""
+    speaking = own.where("is_license_file and path is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("first"), "path", "license")).alias("s"))
+    bare = own.where("license is null and path is not null").select(F.col("dir").alias("of")).distinct().select("of", F.explode(ancestors(F.col("of"))).alias("a"))
+    nearest = bare.select("of", "a.dir", "a.depth").join(speaking, "dir").groupBy("of").agg(F.max_by("s", "depth").alias("s"))
+    return nearest.select("of", F.col("s.license").alias("inherited"), F.col("s.path").alias("inherited_from"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", cosine: float = COSINE) -> DataFrame:
@@ -260,13 +286,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col
     own = own_licenses(files, cosine)
     name = F.element_at(F.split("path", "/"), -1)
     is_file = F.col("license").isNotNull() & (F.coalesce(name.rlike(LICENSE_NAMES), F.lit(False)) | (F.col("notice_words") >= FILE_SHARE * F.col("n_words")))
-    own = staged(own.select("file", "path", "license", "score", is_file.alias("is_license_file")), "own-licenses")
     parent = F.regexp_replace(F.regexp_replace("path", "[^/]*$", ""), "/$", "")
-    speaking = own.where("is_license_file and path is not null").groupBy(parent.alias("dir")).agg(F.max_by(F.struct("license", "path"), F.struct("score")).alias("any"), F.max("score").alias("top"))
-    speaking = own.where("is_license_file and path is not null").select(parent.alias("dir"), "license", "path", "score").join(speaking.select("dir", "top"), "dir").where("score = top").groupBy("dir").agg(F.min(F.struct("path", "license")).alias("s"))
-    bare = own.where("license is null and path is not null").select("path").distinct().select("path", F.explode(ancestors(F.col("path"))).alias("a")).select("path", "a.dir", "a.depth")
-    nearest = bare.join(speaking, "dir").groupBy("path").agg(F.max_by("s", "depth").alias("s")).select("path", F.col("s.license").alias("inherited"), F.col("s.path").alias("inherited_from"))
-    return own.join(nearest, "path", "left").select(
+    own = staged(own.select("file", "path", parent.alias("dir"), "license", "score", is_file.alias("is_license_file")), "own-licenses")
+    nearest = staged(nearest_licenses(own), "nearest-licenses")
+    nearest = F.broadcast(nearest) if nearest.count() <= BROADCAST_DIRECTORIES else nearest
+    return own.join(nearest, F.col("dir") == F.col("of"), "left").select(
         "file",
         "path",
         "license",

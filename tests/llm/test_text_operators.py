@@ -485,3 +485,57 @@ def test_license_bound_loses_nothing():
         match = matcher.best(terms)
         known = [t for t in terms if t in matcher.idf]
         assert not match or match[0] < license.COSINE or matcher.could(known, len(terms) - len(known))
+
+
+def test_license_cosine_by_brute_force(spark):
+    """One-line files against plain TF-IDF cosines to every template."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(23)
+    templates = [Counter(license._terms(t)) for _, t in license.TEMPLATES]
+    spread = Counter(t for c in templates for t in c)
+    idf = lambda t: math.log((1 + len(templates)) / (1 + spread[t])) + 1
+    vector = lambda c: {t: n * idf(t) for t, n in c.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vectors = [vector(c) for c in templates]
+    rows, want = [], {}
+    for k in range(300):
+        terms = [t for t in license._terms(rng.choice(license.TEMPLATES)[1]) if rng.random() < 0.8] + [f"word{rng.randrange(50)}" for _ in range(rng.randrange(0, 15))]
+        rows.append((k, f"d{k % 7}/f{k}.txt", " ".join(terms)))
+        mine, best = vector(Counter(terms)), None
+        for j, (v, c) in enumerate(zip(vectors, templates, strict=True)):
+            signs = len((set(terms) & set(c)) - license.FUNCTION_WORDS)
+            if mine and signs >= min(license.EVIDENCE, len(set(c) - license.FUNCTION_WORDS)):
+                score = round(sum(mine.get(t, 0) * x for t, x in v.items()) / norm(mine) / norm(v), 6)
+                best = max(best or (0, 0, ""), (score, -j, license.TEMPLATES[j][0]))
+        want[k] = (best[2], best[0]) if best and best[0] >= license.COSINE else (None, None)
+    got = {r["file"]: (r["license"], r["score"]) for r in license.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got.keys() == want.keys()
+    for k, (name, score) in want.items():
+        assert got[k][0] == name and (score is None or abs(got[k][1] - score) < 2e-6)
+
+
+def test_license_inheritance_by_brute_force(spark):
+    rng = random.Random(24)
+    notices = {name: text for name, text in reversed(license.TEMPLATES) if name in ("MIT", "Apache-2.0", "MPL-2.0")}
+    rows = []
+    for k in range(300):
+        directory = "/".join(rng.choice("abc") for _ in range(rng.randrange(0, 4)))
+        name, text = (("LICENSE" + rng.choice(["", ".md", ".txt"]), notices[rng.choice(list(notices))]) if rng.random() < 0.1 else (f"f{rng.randrange(40)}.txt", "words of a file " * 9))
+        rows.append((k, f"{directory}/{name}" if directory else name, text))
+    got = {r["file"]: r for r in license.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    speaking = {}
+    for k, path, _ in rows:
+        if got[k]["license"]:
+            d = path.rpartition("/")[0]
+            speaking[d] = min(speaking.get(d, (0, "~", "")), (-got[k]["score"], path, got[k]["license"]))
+    for k, path, _ in rows:
+        if not got[k]["license"]:
+            d, found = path.rpartition("/")[0], None
+            while found is None and (d or path):
+                found = speaking.get(d)
+                if not d:
+                    break
+                d = d.rpartition("/")[0]
+            assert (got[k]["inherited"], got[k]["inherited_from"]) == ((found[2], found[1]) if found else (None, None)), path
