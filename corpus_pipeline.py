@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-duplicates, decontamination, personal data, packing.
 
 Each stage reads all rows that its predecessor kept, as (spark, docs, sf_dir), and all but the last return the
-columns of ``documents``.
+columns of ``documents``. Extra columns are left out. Empty tables pass through; texts of any length are read whole.
+Rows are selected one by one: where ids are missing or occur twice, rows are numbered for the stage.
 """
 
 from __future__ import annotations
@@ -15,51 +16,46 @@ from docloom.llm._shared import selected, staged, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language (null or no letter) go; the others carry the predicted one."""
-    return langid.relabelled(docs).select(*COLUMNS)
-
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(docs, column that tells rows apart): the id, or a number of each row where ids are null or not unique."""
+    odd = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if odd.isEmpty():
+        return docs, "doc_id"
+    return staged(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "rows"), "_row"
 
-def _with_ids(stage):
-    """A stage that selects rows by id, in which every row without an id is a document of its own: such rows have an id
-    above all others while the stage runs."""
 
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if docs.where("doc_id is null").isEmpty():
-            return stage(spark, docs, sf_dir)
-        top = docs.agg(F.max("doc_id")).first()[0]
-        own = F.monotonically_increasing_id() + F.lit(max(top if top is not None else 0, 0) + 1)
-        named = staged(docs.withColumn("_no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", own)), "named")
-        kept = stage(spark, named, sf_dir)
-        without = staged(named.where("_no_id").select(F.col("doc_id").alias("_named")), "without-ids")
-        return kept.join(without, F.col("doc_id") == F.col("_named"), "left").withColumn("doc_id", F.when(F.col("_named").isNull(), F.col("doc_id"))).select(*COLUMNS)
-
-    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
-    return run
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a language (null or no letter) go; the others carry the predicted one. Repeated rows all stay."""
+    return langid.relabelled(docs).select(*COLUMNS)
 
 
-@_with_ids
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal texts, the document with the least id stays; of its repeated rows, one."""
-    leaders = staged(jaccard.jaccard_classes(docs).where("doc_id = component_id").select("doc_id"), "leaders")
-    kept = selected(docs, leaders, "doc_id")
-    repeated = leaders.groupBy("doc_id").count().where("count > 1")
-    return (kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
+    """Of each component of near-equal texts one row stays: the one with the least id, rows without an id last, and any
+    one of rows with the same id. Null and wordless texts are near no other and stay."""
+    docs, key = _rows(docs)
+    classes = jaccard.jaccard_classes(docs, id_col=key)
+    if key == "doc_id":
+        leaders = classes.where("doc_id = component_id").select("doc_id")
+    else:
+        ids = docs.select(F.col(key).alias("row"), F.col("doc_id").alias("id"))
+        first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
+        leaders = classes.join(ids, F.col("doc_id") == F.col("row")).groupBy("component_id").agg(first).select(F.col("first.row").alias(key))
+    return selected(docs, leaders, key).select(*COLUMNS)
 
 
-@_with_ids
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
+    docs, key = _rows(docs)
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"), id_col=key).select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data become their kind in brackets."""
+    """Spans of personal data become their kind in brackets; rows and null texts stay as they are."""
     return pii.masked(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the remaining documents with their place in sequences of 4096."""
+    """Token pieces of the remaining documents with their place in sequences of 4096; null texts are a closing id."""
     return packing.packed(docs, caches=packing.SMALL_CACHES)
 
 

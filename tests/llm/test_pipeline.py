@@ -48,6 +48,31 @@ def test_rows_without_ids(spark, tmp_path):
     assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
 
 
+def test_rows_of_one_id_are_told_apart(spark, tmp_path):
+    """An id with two texts, repeated rows, near copies under other ids, extra columns."""
+    texts = [" ".join(f"{chr(97 + k)}{w}{j}" for j, w in enumerate(LINE.split())) for k in range(4)]
+    quiz = " ".join(f"quiz{k}" for k in range(20))
+    rows = [(5, texts[0] + " end"), (5, texts[1]), (3, texts[0]), (3, texts[0]), (5, texts[2]), (7, texts[2] + " tail"), (5, f"{texts[3]} {quiz}"), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({"_extra": F.lit(1), "node": F.lit("x"), "hs": F.lit(0.5)})
+    spark.createDataFrame([(1, quiz)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    want = [rows[1], rows[2], rows[4], rows[6], rows[7], rows[8]]
+    assert tuple(kept.columns) == corpus_pipeline.COLUMNS and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+    clean = corpus_pipeline.decontaminate(spark, kept, str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted((r for r in want if r != rows[6]), key=str)
+
+
+def test_empty_tables_and_long_texts(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"word{k % 977}x{k % 31}" for k in range(60_000)) + " " + "blob" * 20_000
+    for name, rows in (("none", []), ("long", [(1, long, "en", "s", 0), (2, long + " tail", "en", "s", 0), (3, "a short text of a few words", "en", "s", 0)])):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(1, "none of this is in any text at all")], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        assert {r["doc_id"] for r in got} == ({1, 3} if rows else set())
+
+
 DATA = "/root/testdata/sf0.001"
 
 
