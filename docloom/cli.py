@@ -1,4 +1,4 @@
-"""Command line: ``python -m docloom.cli ingest|query|create|health|parse|chunk``."""
+"""Command line: ``python -m docloom.cli ingest|query|create|health|vacuum|parse|chunk``."""
 
 from __future__ import annotations
 
@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     ask.add_argument("--file", action="append", default=None)
     verbs.add_parser("create")
     verbs.add_parser("health")
+    verbs.add_parser("vacuum")
     return top
 
 
@@ -40,6 +41,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     store = Store(spark, args.store, pipeline.POINTS, args.dense_size)
     if args.verb == "create":
         print("created" if store.ensure() else "already there", store.summary())
+    elif args.verb == "vacuum":
+        print("deleted versions:", store.vacuum())
     elif args.verb == "health":
         state = store.health()
         print(state)

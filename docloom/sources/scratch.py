@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -15,13 +16,25 @@ def _own_folder() -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where none is set (tests)."""
+    """``spark.checkpoint.dir`` of the session; where none is set, a local folder for a session of one machine (tests), and
+    an error on a cluster, whose executors would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else f"file://{_own_folder()}"
+    if named:
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{_own_folder()}"
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """Write once, read as often as the plan needs: later stages restart from files, not from the scan."""
-    path = f"{folder(df.sparkSession)}/docloom-scratch/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{folder(spark)}/docloom-scratch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has materialised, once its results are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/docloom-scratch/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
