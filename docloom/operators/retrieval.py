@@ -15,15 +15,23 @@ from docloom.config import DEFAULTS, Settings
 from docloom.functions import text as T
 from docloom.functions.text import SEQUENCE_QUESTION, normal_form, numbered_items, sequence_score, terms, trim
 from docloom.functions.vectors import bm25_weight, dot, idf, norm
+from docloom.sources.scratch import materialised
 
-#: Rows that may be broadcast after they were counted; larger sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes that may be broadcast after they were measured; larger sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Bytes by which a value of a type is taken into account before it is measured.
+_WIDTHS = {"string": 64, "binary": 256}
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A side that is proven small is computed once and broadcast; a larger one is returned as it is."""
-    rows = df.limit(most + 1).collect()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A side that is proven small is computed once and broadcast; a larger one is returned as it is. What the driver
+    takes is bounded by rows (by their types' usual widths) and then measured."""
+    width = sum(_WIDTHS.get(kind, 2048 if kind.startswith(("array", "struct", "map")) else 8) for _, kind in df.dtypes)
+    rows = max(1, most // width)
+    got = df.limit(rows + 1).toArrow()
+    if got.num_rows > rows or got.nbytes > most:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(got, df.schema))
 
 
 def postings(texts: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -87,13 +95,29 @@ def bm25_score() -> Column:
     return F.round(F.sum(F.col("weight") * (F.col("query_weight") * F.col("idf"))), 6)
 
 
-def dense_scores(questions: DataFrame, vectors: DataFrame, query_col: str = "vector", dense_col: str = "dense") -> DataFrame:
-    """(query_id, chunk_id, score): exact cosine of every question with every vector (the stated query set against all
-    rows, questions broadcast once they were counted); norms are taken once per row."""
-    q = small(questions.select("query_id", F.col(query_col).alias("_q"), norm(F.col(query_col)).alias("_qn")))
-    v = vectors.select("chunk_id", F.col(dense_col).alias("_v"), norm(F.col(dense_col)).alias("_vn"))
+def dense_scores(questions: DataFrame, vectors: DataFrame, query_col: str = "vector", dense_col: str = "dense", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, chunk_id, score, and the vectors' columns to keep): exact cosine of every question with every vector (the
+    stated query set against all rows, a block of questions after the other if they aren't small); norms are taken once
+    per row."""
+    asked = questions.select("query_id", F.col(query_col).alias("_q"), norm(F.col(query_col)).alias("_qn"))
+    v = vectors.select("chunk_id", *keep, F.col(dense_col).alias("_v"), norm(F.col(dense_col)).alias("_vn"))
     score = F.coalesce(F.try_divide(dot(F.col("_q"), F.col("_v")), F.col("_qn") * F.col("_vn")), F.lit(0.0))
-    return v.join(q).select("query_id", "chunk_id", F.round(score, 6).alias("score"))
+    found = None
+    for block in query_blocks(asked):
+        part = v.join(block).select("query_id", "chunk_id", *keep, F.round(score, 6).alias("score"))
+        found = part if found is None else found.union(part)
+    return found
+
+
+def query_blocks(asked: DataFrame, most: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """Questions with vectors as sides that may be broadcast: one if they are small, else as many as their size asks for."""
+    one = small(asked, most)
+    if one is not asked:
+        return [one]
+    kept = materialised(asked, "questions")
+    size = kept.agg(F.sum(F.size("_q") * 8 + 64)).first()[0]
+    n = 2 * -(-size // most)
+    return [F.broadcast(kept.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)) for k in range(n)]
 
 
 def in_scope(chunks: DataFrame, chat_id: str | None = None, file_paths: list[str] | None = None) -> DataFrame:
@@ -109,6 +133,12 @@ def ranked(scores: DataFrame, limit: int, keys: tuple[str, ...] = ("query_id",))
     return scores.withColumn("rank", n.cast("long")).where(F.col("rank") <= limit)
 
 
+def searchable(scores: DataFrame, top_k: int = 8, settings: Settings = DEFAULTS) -> DataFrame:
+    """The scores that a two-phase search can look at: the first of each (question, file). The first of a question over
+    all files are among them, so nothing else needs to be kept."""
+    return ranked(scores, max(3 * top_k, settings.broad_search_top_k), ("query_id", "file_path")).drop("rank")
+
+
 def fused(rankings: list[DataFrame], keys: tuple[str, ...] = ("query_id",), k: int = DEFAULTS.rrf_k) -> DataFrame:
     """Reciprocal rank fusion: (keys, chunk_id, rrf, first_list, first_rank). A union and one aggregate with map-side
     combination take the place of a full outer join."""
