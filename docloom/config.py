@@ -6,6 +6,7 @@ import os
 from dataclasses import dataclass, fields
 
 
+#: The defaults that users know, by the names they set them by.
 @dataclass(frozen=True)
 class Settings:
     semantic_similarity_threshold: float = 0.72
@@ -43,6 +44,7 @@ DEFAULTS = Settings()
 DEFAULT_SECTION = "Document body"
 HYBRID_MODE = "hybrid_vector"
 TREE_MODE = "vectorless_structured_tree"
+ARCHIVE_SUFFIXES = (".zip",)
 SUPPORTED_SUFFIXES = (".docx", ".pdf", ".txt", ".xlsm", ".xlsx")
 NO_PASSAGES = "I could not find any relevant passages in the indexed documents to answer your question."
 NO_MODEL = "*(No LLM API key configured — showing the best-matching passage as the answer.)*\n\n"

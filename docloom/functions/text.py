@@ -138,6 +138,12 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(base_name(path), r"[^.](\.[^./]+)$", 1))
 
 
+def upload_path(folder: Column, name: Column, token: Column | None = None) -> Column:
+    """Where an upload is kept: its name alone, without the folders that a client may send, behind a random token."""
+    token = F.replace(F.uuid(), F.lit("-"), F.lit("")) if token is None else token
+    return F.concat(folder, F.lit("/"), token, F.lit("_"), base_name(F.replace(name, F.lit("\\"), F.lit("/"))))
+
+
 def file_stem(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"(?<=[^.])\.[^./]+$", "")
 
