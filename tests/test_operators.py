@@ -238,3 +238,132 @@ def test_postings_agree(spark):
     some = {(r["chunk_id"], r["term"]): (r["tf"], r["n_terms"]) for r in retrieval.postings_of(questions, texts).collect()}
     assert some == {k: v for k, v in got.items() if k[1] == "dog"}
     assert {r["term"]: r["df"] for r in retrieval.text_term_stats(texts).collect()} == {r["term"]: r["df"] for r in retrieval.term_stats(retrieval.postings(texts)).collect()}
+
+
+def test_interrupted_and_competing_writers(spark, shop):
+    """A manifest that its writer didn't finish is no version; of two writers from one version the second is refused."""
+    table = shop.chats
+    table.create()
+    shop.upsert_chat("a", "First")
+    number, manifest = table._newest()
+    fs, file = table._fs(f"{table.path}/manifest-{number + 1:010d}.json")
+    out = fs.create(file, False)
+    out.write(bytearray(b'{"a": ["v-'))
+    out.close()
+    assert table._newest() == (number, manifest) and shop.all_chats().count() == 1 and not table.create()
+    shop.upsert_chat("b", "Second")
+    assert table._newest()[0] == number + 2 and {r["id"] for r in shop.all_chats().collect()} == {"a", "b"}
+    with pytest.raises(RuntimeError, match="another writer"):
+        table._point({}, number)
+    assert shop.all_chats().count() == 2
+    for k in range(4):
+        shop.upsert_chat("a", f"Name {k}")
+    assert table.vacuum(keep=2) >= 3 and len(table._manifests()) == 2
+    assert {r["id"]: r["name"] for r in shop.all_chats().collect()} == {"a": "Name 3", "b": "Second"}
+    with pytest.raises(RuntimeError, match="another writer"):
+        table._point({}, number)
+
+
+def test_a_batch_changes_each_table_once(spark, shop, monkeypatch):
+    changes = []
+    rewrite = store.Table._rewrite
+    monkeypatch.setattr(store.Table, "_rewrite", lambda self, *a: (changes.append(self.path.rsplit("/", 1)[-1]), rewrite(self, *a)))
+    text = lambda k: f"Text number {k} speaks of cost and time.".encode()
+    pipeline.ingest(shop, byte_files(spark, **{f"/old/{k}.txt": text(k) for k in range(12)}), chat_id="c")
+    pipeline.ingest(shop, byte_files(spark, **{"/old/0.txt": text(0)}), chat_id="other")
+    assert changes == ["points", "points"]
+    # the same names from another folder, one of them now empty: the older points of the batch's files go, others stay
+    report = pipeline.ingest(shop, byte_files(spark, **{f"/new/{k}.txt": text(k) if k else b"" for k in range(6)}), chat_id="c")
+    assert changes == ["points"] * 3 and report["skipped"] == ["0.txt"]
+    assert sorted(r["file_path"] for r in shop.points.read(["c"]).collect()) == [f"/new/{k}.txt" for k in range(1, 6)] + sorted(f"/old/{k}.txt" for k in range(6, 12))
+    assert [r["file_path"] for r in shop.points.read(["other"]).collect()] == ["/old/0.txt"]
+    pipeline.ingest(shop, byte_files(spark, **{"/new/none.txt": b""}), chat_id="c")
+    assert changes == ["points"] * 3
+    shop.points.delete(["c"], F.col("file_name") == "absent.txt")
+    assert changes == ["points"] * 3
+
+
+def test_archives_are_ingested(spark, shop):
+    inner = archive(**{"notes/plan.txt": b"The plan of the bridge is ready.", "notes/cost.txt": b"Cost is high this year.", "pic.png": b"x"})
+    report = pipeline.ingest(shop, byte_files(spark, **{"/up/all.zip": inner, "/up/bad.zip": b"no archive", "/up/one.txt": b"One more text."}), chat_id="z")
+    assert {r["file_path"] for r in shop.points.read(["z"]).collect()} == {"/up/all.zip!/notes/plan.txt", "/up/all.zip!/notes/cost.txt", "/up/one.txt"}
+    assert set(report["errors"]) == {"/up/bad.zip"} and report["skipped"] == [] and report["files"] == 3
+
+
+def pdf_page():
+    """One page: a heading, prose, a table with an image and a glyph in it, prose below, a lone image and lone glyphs."""
+    line = lambda n, text, y, size=10.0: {"page": 1, "line_no": n, "x0": 0.0, "y0": y, "x1": 100.0, "y1": y + 9, "spans": [{"text": text, "size": size, "flags": 0}]}
+    box = lambda kind, x0, y0, x1, y1, **more: {"kind": kind, "page": 1, "x0": x0, "y0": y0, "x1": x1, "y1": y1, **more}
+    lines = [line(0, "Scope", 0.0, 14.0), line(1, "this is the text above.", 20.0), line(2, "Item Cost cell text", 110.0), line(3, "this is the text below.", 300.0)]
+    boxes = [
+        box("table", 0.0, 100.0, 200.0, 200.0, table=1, rows=[["Item", "Cost"], ["a \n b", None], ["c", "4"]]), box("table", 0.0, 290.0, 200.0, 320.0, table=2, rows=[["", None]]),
+        box("image", 10.0, 120.0, 50.0, 140.0), box("image", 0.0, 100.0, 200.0, 180.0), box("image", 300.0, 400.0, 380.0, 430.0), box("image", 300.0, 500.0, 310.0, 505.0),
+        box("glyph", 60.0, 150.0, 70.0, 160.0), box("glyph", 72.0, 151.0, 80.0, 161.0), box("glyph", 300.0, 600.0, 310.0, 610.0), box("glyph", 2.0, 301.0, 8.0, 307.0),
+    ]
+    return lines, boxes
+
+
+def test_pdf_tables_and_images(spark):
+
+    def ocr(data, page, region, zoom):
+        return f"region {region[0]:.0f} {region[1]:.0f} zoom {zoom:.0f}" if region[0] < 310 else "x"
+
+    given = byte_files(spark, **{"/d/p.pdf": b"%PDF", "/d/broken.pdf": b""})
+    page = pdf_page()
+
+    def reader(data):
+        if not data:
+            raise ValueError("no pages")
+        return page
+
+    plain, errors = files.parse_files(given, reader)
+    got = [(r["source_type"], r["text"], r["has_embedded_images"]) for r in plain.orderBy("source_segment").collect()]
+    assert got == [
+        ("pdf_heading", "Scope", None), ("pdf", "this is the text above. this is the text below.", None), ("pdf_table", "Table 1\nHeaders: Item | Cost\nRow 1: Item: a b\nRow 2: Item: c; Cost: 4", True),
+    ]
+    assert [r["path"] for r in errors.collect()] == ["/d/broken.pdf"]
+    read, _ = files.parse_files(given, reader, Settings(enable_pdf_ocr=True), ocr)
+    rows = read.orderBy("source_segment").collect()
+    assert [r["source_type"] for r in rows] == ["pdf_image", "pdf_image", "pdf_heading", "pdf", "pdf_table"]
+    assert [r["text"] for r in rows[:2]] == ["[Image content]\nregion 300 400 zoom 3", "[Image content]\nregion 298 598 zoom 5"]
+    table = rows[-1]  # the picture of the whole table is left out; glyphs of a line are one region without padding
+    assert table["image_ocr"] == ["region 10 120 zoom 3", "region 60 150 zoom 5"] and table["text"].endswith("Row 2: Item: c; Cost: 4\n\n[Image content]\nregion 10 120 zoom 3\nregion 60 150 zoom 5")
+    few, _ = files.parse_files(given, reader, Settings(enable_pdf_ocr=True, max_images_per_table=1), ocr)
+    assert [r["source_type"] for r in few.orderBy("source_segment").collect()].count("pdf_image") == 1
+    assert [r["source_type"] for r in files.parse_files(given, reader, Settings(), ocr)[0].collect()].count("pdf_image") == 0
+
+
+def test_small_is_measured_in_bytes(spark):
+    few = spark.createDataFrame([(k, [float(k)] * 64) for k in range(20)], "query_id long, _q array<double>")
+    assert retrieval.small(few) is not few and retrieval.small(few, 2000) is few
+    blocks = retrieval.query_blocks(few, 4000)
+    assert len(blocks) > 1 and sorted(r["query_id"] for b in blocks for r in b.collect()) == list(range(20))
+    questions = few.select("query_id", F.col("_q").alias("vector"))
+    vectors = spark.createDataFrame([(f"c{k}", [float(k % 3 + 1)] * 64) for k in range(9)], "chunk_id string, dense array<double>")
+    want = sorted(map(tuple, retrieval.dense_scores(questions, vectors).collect()))
+    before = retrieval.BROADCAST_BYTES
+    try:
+        retrieval.query_blocks.__defaults__ = (4000,)
+        assert sorted(map(tuple, retrieval.dense_scores(questions, vectors).collect())) == want and len(want) == 180
+    finally:
+        retrieval.query_blocks.__defaults__ = (before,)
+
+
+def test_pruned_scores_give_the_same_search(spark):
+    rng = np.random.default_rng(8)
+    rows = [(q, f"f{f}#{c}", f"f{f}", float(np.round(rng.random() * (3 if f == q else 1), 6))) for q in range(4) for f in range(12) for c in range(60)]
+    scores = [spark.createDataFrame([r for r in rows if rng.random() < 0.8], "query_id long, chunk_id string, file_path string, score double") for _ in range(2)]
+    chunks = spark.createDataFrame([(f"f{f}#{c}", f"text {f} {c % 50}") for f in range(12) for c in range(60)], "chunk_id string, text string")
+    full = sorted(map(tuple, retrieval.two_phase_search(*scores, chunks).collect()))
+    pruned = [retrieval.searchable(s) for s in scores]
+    assert all(p.count() < s.count() for p, s in zip(pruned, scores, strict=True))
+    assert sorted(map(tuple, retrieval.two_phase_search(*pruned, chunks).collect())) == full and len(full) == 32
+
+
+def test_upload_paths(spark):
+    from docloom.functions import text as T
+
+    df = spark.createDataFrame([("a/b/Plan.pdf",), ("..\\x\\y.txt",), ("plain.docx",)], "n string")
+    got = [r[0] for r in df.select(T.upload_path(F.lit("up"), F.col("n"), F.lit("t"))).collect()]
+    assert got == ["up/t_Plan.pdf", "up/t_y.txt", "up/t_plain.docx"]
+    assert len({r[0] for r in df.select(T.upload_path(F.lit("up"), F.lit("same.txt"))).collect()}) == 3
