@@ -224,14 +224,24 @@ def _questions(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
+def _matched(spark, sf_dir):
+    """(chunks, postings that meet the questions' terms, read from the texts once)."""
+    chunks, questions = _line_chunks(spark, sf_dir), _questions(spark, sf_dir)
+    n_chunks = read(spark, sf_dir, "documents").agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
+    return chunks, retrieval.matched(questions, materialised(retrieval.postings_of(questions, chunks), "postings"), n_chunks)
+
+
 def _rankings(spark, sf_dir):
     """(chunks, BM25 scores, overlap scores). The second ranking needs no vectors: shared distinct terms over the root of a
-    chunk's distinct terms. Both come from one pass over the matched postings, kept for the phases that follow."""
-    chunks = _line_chunks(spark, sf_dir)
-    questions = _questions(spark, sf_dir)
-    rows = retrieval.matched(questions, materialised(retrieval.postings_of(questions, chunks), "postings"), chunks.count())
+    chunk's distinct terms. Both come from one pass over the matched postings; of each file only what a search can look at
+    is kept for the phases that follow."""
+    chunks, rows = _matched(spark, sf_dir)
     overlap = F.round(F.count("*") / F.sqrt(F.first("n_terms").cast("double")), 6)
-    scores = materialised(rows.groupBy("query_id", "chunk_id").agg(retrieval.bm25_score().alias("sparse"), overlap.alias("overlap")), "scores")
+    scores = rows.groupBy("query_id", "chunk_id").agg(retrieval.bm25_score().alias("sparse"), overlap.alias("overlap"))
+    rank = lambda c: F.row_number().over(Window.partitionBy("query_id", F.substring_index("chunk_id", "#", 1)).orderBy(F.desc(c), "chunk_id"))
+    most = max(24, DEFAULTS.broad_search_top_k)
+    scores = scores.withColumns({"_s": rank("sparse"), "_o": rank("overlap")}).where((F.col("_s") <= most) | (F.col("_o") <= most))
+    scores = materialised(scores.select("query_id", "chunk_id", "sparse", "overlap"), "scores")
     return chunks, scores.select("query_id", "chunk_id", F.col("sparse").alias("score")), scores.select("query_id", "chunk_id", F.col("overlap").alias("score"))
 
 
@@ -246,7 +256,8 @@ def bm25_term_stats(spark, sf_dir):
 
 @query(f"with {CHUNKS_SQL}, {SCORES_SQL} select query_id, chunk_id, score, r as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from sparse) where r <= 20")
 def bm25_topk(spark, sf_dir):
-    _, sparse, _ = _rankings(spark, sf_dir)
+    _, rows = _matched(spark, sf_dir)
+    sparse = rows.groupBy("query_id", "chunk_id").agg(retrieval.bm25_score().alias("score"))
     return retrieval.ranked(sparse, 20).select("query_id", "chunk_id", "score", "rank")
 
 
