@@ -15,7 +15,9 @@ their length by counts per (length, salt) and numbering inside those small group
 all documents share is never in one task.
 
 A document is its token ids and a closing id; null and empty texts are the closing id alone. Longer documents
-are cut at multiples of the capacity. Repeated rows are packed once each. Empty table: empty result.
+are cut at multiples of the capacity; a very long text is encoded whole, its words being looked up. Ties: pieces of one
+length are ranked by id, piece and crc within salted groups; null ids rank first. Repeated rows are packed once each.
+Extra columns play no part. Empty table: empty result.
 """
 
 from __future__ import annotations

@@ -3,8 +3,9 @@
 A rule is (name, measure, low, high): a text passes while low <= measure <= high. All measures are
 Spark expressions over the text, so the verdict is one narrow projection with no shuffle.
 
-Null or empty text: all counts are 0 and the base rule (n_words < 50) rejects it. Ties, repeated rows
-and other columns play no part: each row is judged alone and extra columns are passed by only on request.
+Null or empty text: all counts are 0 and the base rule (n_words < 50) rejects it. Very long texts are counted whole, in
+time in proportion to their words but for one sort where windows repeat. Ties, repeated rows, null ids and other columns
+play no part: each row is judged alone and extra columns are left out. Empty table: empty result.
 """
 
 from __future__ import annotations

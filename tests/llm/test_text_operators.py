@@ -258,6 +258,24 @@ def test_packing_round_trip(spark):
     assert packing.packed(df.where("false")).count() == 0
 
 
+def test_packing_caches_may_overflow():
+    rng = random.Random(25)
+    texts = [" ".join(rng.choice(["Hello,", "world's", "naïve", "12.5%%", "ΣΑΣ", "foo_bar", f"w{rng.randrange(300)}.", "x" * 30]) for _ in range(90)).encode() for _ in range(12)] + [b"", ("y" * 200_000).encode()]
+    path = packing.default_vocabulary()
+    want = [packing.token_bytes([t], path)[0] for t in texts]
+    for caches in ((3, 2), (50, 10), (1000, 1)):
+        assert [b for t in texts for b in packing.token_bytes([t], path, caches)] == want and packing.token_bytes(texts, path, caches) == want
+
+
+def test_packing_ties_and_clashing_columns(spark):
+    rows = [(1, "same words here")] * 3 + [(None, "same words here"), (2, None), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"salt": F.lit(1), "rank": F.lit("x"), "offset": F.lit(0.5), "sequence_id": F.lit(7), "ids_crc32": F.lit(1)})
+    got = packing.packed(df).collect()
+    assert len(got) == 6 and len({r["sequence_id"] for r in got}) == 1
+    at = sorted((r["offset"], r["length"]) for r in got)
+    assert [o for o, _ in at] == [sum(n for _, n in at[:k]) for k in range(6)]
+
+
 @pytest.mark.parametrize("kind", ["small", "large", "mixed", "thirds"])
 def test_packing_is_tight(kind):
     rng = random.Random(6)
