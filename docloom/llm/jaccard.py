@@ -51,9 +51,10 @@ SHORT_LIST = 16
 LEADERS = 3
 #: Shingles in 2**HOT texts or more are joined with their leaders as rows.
 HOT = 12
-#: Members of a family in one block, and shingles of their differences; a task holds two blocks. Rows and columns of its
-#: products.
-FAMILY_BLOCK = 1024
+#: Members of a family in one block: a FAMILY_BLOCKS-th of the family within these bounds; and shingles of their
+#: differences. A task holds two blocks. Rows and columns of its products.
+FAMILY_BLOCK, LARGEST_BLOCK = 256, 4096
+FAMILY_BLOCKS = 32
 FAMILY_SHINGLES = 500_000
 ROW_BLOCK = 512
 COLUMN_BLOCK = 2048
@@ -465,7 +466,8 @@ def _family_links(led: DataFrame, found: DataFrame, sets: DataFrame, t: Fraction
     far = both.select("lead", "node", "component", (F.col("component") != F.col("core")).alias("rest"), F.size("x").alias("n_lead"), F.size("y").alias("size"), F.size(away).alias("away"), F.concat(away, F.array_except("y", "x")).alias("far"))
     far = staged(far, "differences")
     shingles = far.groupBy("lead").agg(F.sum(F.size("far")).alias("all"), F.sum(F.when(F.col("rest"), F.size("far")).otherwise(0)).alias("some"))
-    blocks = lambda members, held: F.greatest(F.ceil(F.col(members) / FAMILY_BLOCK), F.ceil(F.col(held) / FAMILY_SHINGLES), F.lit(1)).cast("int")
+    block = F.least(F.greatest(F.col("k") / FAMILY_BLOCKS, F.lit(FAMILY_BLOCK)), F.lit(LARGEST_BLOCK))
+    blocks = lambda members, held: F.greatest(F.ceil(F.col(members) / block), F.ceil(F.col(held) / FAMILY_SHINGLES), F.lit(1)).cast("int")
     cut = staged(open_.join(shingles, "lead").select("lead", blocks("r", "some").alias("rows"), blocks("k", "all").alias("columns")), "blocks")
     cut = F.broadcast(cut) if cut.count() <= BROADCAST_FAMILIES else cut
     far = far.join(cut, "lead")
