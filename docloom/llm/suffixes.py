@@ -529,10 +529,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = mapped(segments, _decided(bounds), "law byte, key binary, first int, last int")
     runs = runs.groupBy("key").agg(F.struct(*_by_law("first", "first"), *_by_law("last", "last")).alias("runs"))
     found = mapped(shared.where("copies = 1").select("key", "text").join(runs, "key"), _removed, "key binary, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, n_passages long")
-    results = classes.select("key", "copies").join(found, "key", "left")
-    whole, passage = (F.col("copies") > 1) & (F.col("n_bytes") >= BYTES.window), (F.col("copies") > 1) & (F.col("n_words") >= WORDS.window)
+    # written, so that the join below is of two plain tables and a text with very many copies can be split
+    results = staged(classes.select("key", "copies").join(found, "key", "left").where("copies > 1 or n_removed is not null"), "repeats")
+    copied = F.coalesce(F.col("copies") > 1, F.lit(False))
+    whole, passage = copied & (F.col("n_bytes") >= BYTES.window), copied & (F.col("n_words") >= WORDS.window)
     counted = lambda all_of, every, some: F.when(all_of, every).otherwise(F.coalesce(F.col(some), F.lit(0))).cast("long").alias(some)
-    return base.join(results, "key").select(
+    return base.join(results, "key", "left").select(
         "doc_id",
         "n_bytes",
         counted(whole, F.col("n_bytes"), "n_removed"),
