@@ -26,7 +26,7 @@ def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a language (null or no letter) go; the others carry the predicted one. Repeated rows all stay."""
-    return langid.relabelled(docs).select(*COLUMNS)
+    return langid.relabelled(docs, caches=langid.SMALL_CACHES).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

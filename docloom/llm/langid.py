@@ -36,9 +36,10 @@ BLOCK = 4096
 TOGETHER = 1 << 16
 #: Bounds of a Python worker's caches (entries, bytes of their keys); they are emptied when full. A text is read in
 #: parts of so many words, a word in parts of so many letter runs.
-CACHED_WORDS = 100_000
-CACHED_RUNS = 150_000
-CACHED_BYTES = 8 << 20
+CACHES = (250_000, 500_000)
+#: (words, letter runs) where executors are already full of other stages' memory.
+SMALL_CACHES = (100_000, 150_000)
+CACHED_BYTES = 16 << 20
 PART_WORDS = 100_000
 PART_RUNS = 50_000
 #: Words that a training task counts before it sends the counts on.
@@ -137,15 +138,23 @@ def _alike(words: list[str]):
 def log_probabilities(words: list[str], vocabulary: str, theta: np.ndarray) -> np.ndarray:
     """[word, language] log of the sum over all segmentations. theta: [V + 2, language]; the last row is 0."""
     out = np.empty((len(words), theta.shape[1]))
+    none = len(theta) - 1
     for n, at in _alike(words):
         some = [words[i] for i in at]
-        recent = np.zeros((len(at), LONGEST_PIECE, theta.shape[1]))  # alpha of the last positions, nearest first
-        recent[:, 0] = 1.0
+        reach = LONGEST_PIECE
+        recent = None  # alpha of the last positions, nearest first
         scale = np.zeros((len(at), theta.shape[1]))
         for first in range(0, n, BLOCK):
             ids = lattice(some, vocabulary, first, first + BLOCK)
+            longest = LONGEST_PIECE - (ids != none).any(axis=0)[:, ::-1].argmax(axis=1)  # piece that ends at a position
+            if n <= BLOCK:
+                reach = int(longest.max())
+            if recent is None:
+                recent = np.zeros((len(at), reach, theta.shape[1]))
+                recent[:, 0] = 1.0
             for j in range(ids.shape[1]):
-                now = (recent * theta[ids[:, j]]).sum(axis=1)
+                m = longest[j]
+                now = np.einsum("wkl,wkl->wl", recent[:, :m], theta[ids[:, j, :m]])
                 scale += np.log(now)
                 recent[:, 1:] = recent[:, :-1] / now[:, None]
                 recent[:, 0] = 1.0
@@ -256,13 +265,13 @@ def train(labelled: DataFrame, vocabulary: str, train_texts: int = TRAIN_TEXTS,
     return languages, theta
 
 
-def _predictor(languages: list[str], theta: np.ndarray, vocabulary: str):
+def _predictor(languages: list[str], theta: np.ndarray, vocabulary: str, caches: tuple[int, int] = CACHES):
     """A function from an Arrow array of texts to (language, score, letter words) lists, with its own caches."""
     release_worker_cache()
     number: dict[bytes, int] = {}  # words as written
-    known = np.zeros((CACHED_WORDS + PART_WORDS, len(languages) + 1))
+    known = np.zeros((caches[0] + PART_WORDS, len(languages) + 1))
     run_number: dict[str, int] = {}  # letter runs
-    run_known = np.zeros((CACHED_RUNS + PART_RUNS, len(languages)))
+    run_known = np.zeros((caches[1] + PART_RUNS, len(languages)))
     held = [0, 0]  # bytes of the words, characters of the runs
 
     def learn(words: list[bytes]) -> None:
@@ -270,7 +279,7 @@ def _predictor(languages: list[str], theta: np.ndarray, vocabulary: str):
         known[base : base + len(words)] = 0
 
         def settle() -> None:
-            if len(run_number) > CACHED_RUNS or held[1] > CACHED_BYTES:
+            if len(run_number) > caches[1] or held[1] > CACHED_BYTES:
                 run_number.clear()
                 held[1] = 0
             new = [r for r in dict.fromkeys(runs) if r not in run_number]
@@ -305,7 +314,7 @@ def _predictor(languages: list[str], theta: np.ndarray, vocabulary: str):
                     at = np.fromiter(map(number.__getitem__, part), np.int64, len(part))
                 except KeyError:
                     near = set(part).union(*parts) if lo == 0 and sum(map(len, parts)) <= PART_WORDS else set(part)
-                    if len(number) > CACHED_WORDS or held[0] > CACHED_BYTES:
+                    if len(number) > caches[0] or held[0] > CACHED_BYTES:
                         number.clear()
                         held[0] = 0
                     learn([w for w in near if w not in number])
@@ -356,7 +365,7 @@ def predict(texts: DataFrame, languages: list[str], theta: np.ndarray, vocabular
     return mapped(texts, run, f"doc_id {kind}, lang_pred string, score double, n_letter_words long")
 
 
-def relabelled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None) -> DataFrame:
+def relabelled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None, caches: tuple[int, int] = CACHES) -> DataFrame:
     """``df`` with each row's language replaced by the predicted one, rows without a language dropped. Map-only after
     the learning, so no text is joined or shuffled; other columns stay."""
     path = vocabulary or default_vocabulary()
@@ -366,7 +375,7 @@ def relabelled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     text_at, lang_at = names.index(text_col), names.index(lang_col)
 
     def run(batches):
-        predicted = _predictor(languages, model.value, path)
+        predicted = _predictor(languages, model.value, path, caches)
         for batch in batches:
             best = pa.array(predicted(batch.column(text_at))[0], pa.string())
             yield batch.set_column(lang_at, batch.schema.field(lang_at), best.cast(batch.schema.field(lang_at).type)).filter(pc.not_equal(best, UNDETERMINED))

@@ -214,9 +214,9 @@ def test_language_caches_may_overflow(monkeypatch):
     texts = [blob, "½ ² 3 ①", "½x", "a" * 3000, None, "", *(" ".join(blob[rng.randrange(9000) :][:9] for _ in range(60)) for _ in range(40)), blob + " " + blob]
     want = langid._predictor(["a", "b"], theta, path)(pa.array(texts))
     assert want[0][1] == want[0][4] == "und" and want[0][2] != "und" and want[2][0] > 1000 and want[2][-1] == 2 * want[2][0]
-    for name, value in (("CACHED_WORDS", 7), ("CACHED_RUNS", 5), ("CACHED_BYTES", 50), ("PART_WORDS", 9), ("PART_RUNS", 11), ("TEXT_BYTES", 300)):
+    for name, value in (("PART_WORDS", 9), ("PART_RUNS", 11), ("TEXT_BYTES", 300), ("CACHED_BYTES", 50)):
         monkeypatch.setattr(langid, name, value)
-        got = langid._predictor(["a", "b"], theta, path)(pa.array(texts))
+        got = langid._predictor(["a", "b"], theta, path, (7, 5))(pa.array(texts))
         assert got[0] == want[0] and got[2] == want[2] and np.allclose(got[1], want[1])
 
 
