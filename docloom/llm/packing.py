@@ -72,6 +72,32 @@ def _encoded(tokenizer, words: list[str]) -> list[bytes]:
     return [array("I", found.ids).tobytes() for found in tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign by which the vocabulary writes each byte: printable bytes are themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_SIGNS = _byte_signs()
+#: Below this sign, lower-case letter runs are what the vocabulary's normaliser makes of them and one pre-token.
+LATIN_END = "\u0250"
+
+
+def _encoded_runs(tokenizer, runs: list[str]) -> list[bytes]:
+    """The ids of lower-case letter runs and plain punctuation runs: Latin ones go straight to the vocabulary's merges."""
+    merges, found = tokenizer.model.tokenize, []
+    other = [run for run in runs if run and max(run) >= LATIN_END]
+    ids = dict(zip(other, _encoded(tokenizer, other), strict=True))
+    for run in runs:
+        if run in ids:
+            found.append(ids[run])
+        else:
+            signs = run if run.isascii() else "".join([_SIGNS[b] for b in run.encode()])
+            found.append(array("I", [t.id for t in merges(signs)]).tobytes() if run else b"")
+    return found
+
+
 def _learn(tokenizer, by_word: dict[bytes, bytes], by_run: dict[str, bytes], words: list[bytes], most_runs: int = CACHED_RUNS) -> None:
     """Fill the word cache. A letter run followed by plain punctuation is two pre-tokens of this vocabulary, and
     letters are folded before they are looked up, so most new words are made of known runs; the rest (mixed signs,
@@ -97,7 +123,7 @@ def _learn(tokenizer, by_word: dict[bytes, bytes], by_run: dict[str, bytes], wor
         by_run[""] = b""
         wanted = {run for _, a, b in plain for run in (a, b) if run}
     runs = list(wanted)
-    by_run.update(zip(runs, _encoded(tokenizer, runs), strict=True))
+    by_run.update(zip(runs, _encoded_runs(tokenizer, runs), strict=True))
     for word, a, b in plain:
         by_word[word] = by_run[a] + by_run[b]
     by_word.update(zip([w for w, _ in whole], _encoded(tokenizer, [t for _, t in whole]), strict=True))

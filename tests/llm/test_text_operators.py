@@ -258,6 +258,24 @@ def test_packing_round_trip(spark):
     assert packing.packed(df.where("false")).count() == 0
 
 
+def test_runs_have_the_ids_that_the_tokenizer_gives():
+    """Words of many scripts, of letters that compose or fold, and of any Latin letters, against the whole tokenizer."""
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(26)
+    path = packing.default_vocabulary()
+    tokenizer = Tokenizer.from_file(path)
+    latin = "".join(chr(c) for c in range(0x41, 0x250) if chr(c).isalpha())
+    words = ["".join(rng.choices(latin, k=rng.randrange(1, 12))) + rng.choice(["", ".", ",;", "!?%"]) for _ in range(3000)]
+    words += ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(1, 25))) for _ in range(3000)]
+    words += ["Привет,", "ΣΑΣ", "σας", "\u1112\u1161\u11ab", "\u212b", "e\u0301t", "\uf900", "日本語。", "İstanbul", "ŉ", "ǅ", "ﬁn", "ſ", "ß", "x²", "a_b", "it's", "don't.", "12.5%"]
+    want = [array("I", tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in words]
+    assert packing.token_bytes([w.encode() for w in words], path) == want
+    assert packing.token_bytes([" ".join(words).encode()], path) == [b"".join(want)]
+
+
 def test_packing_caches_may_overflow():
     rng = random.Random(25)
     texts = [" ".join(rng.choice(["Hello,", "world's", "naïve", "12.5%%", "ΣΑΣ", "foo_bar", f"w{rng.randrange(300)}.", "x" * 30]) for _ in range(90)).encode() for _ in range(12)] + [b"", ("y" * 200_000).encode()]
