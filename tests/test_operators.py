@@ -283,6 +283,48 @@ def test_a_batch_changes_each_table_once(spark, shop, monkeypatch):
     assert changes == ["points"] * 3
 
 
+def test_many_chats_share_files(spark, shop):
+    """A change of thousands of chats writes few folders, whole or by deletion, and leaves ranges that it doesn't touch."""
+    table = shop.messages
+    table.create()
+    rows = spark.range(3000).selectExpr("concat('chat', id) as chat_id", "'m' as id", "cast(id as string) as question", "'a' as answer", "timestamp_seconds(id) as created_at").withColumn("sources", F.lit(None).cast(table.schema["sources"].dataType))
+    shop.append_messages(rows)
+    assert len(table.manifest()) == 1 and table.count() == 3000
+    shop.append_messages(rows.where("created_at < timestamp_seconds(10)").withColumn("answer", F.lit("b")))
+    assert table.count() == 3000 and table.read().where("answer = 'b'").count() == 10
+    table.delete(rows.where("cast(question as int) % 3 = 0").select("chat_id"))
+    table.delete([f"chat{k}" for k in range(3000) if k % 3 == 1])
+    assert table.count() == 1000 and shop.history("chat5").first()["answer"] == "b" and shop.history("chat6").count() == 0
+    before = table._newest()[0]
+    table.delete(["chat6", "absent"])
+    table.delete(["chat5"], F.col("question") == "none")
+    assert table._newest()[0] == before
+    # ranges are cut by rows; only the one that holds a changed chat is rewritten
+    cut = store.cut([(0, store.SLOTS - 1)], table._slots(table.read()), 300)
+    assert [lo for lo, _ in cut] == [0, *[hi + 1 for _, hi in cut[:-1]]] and cut[-1][1] == store.SLOTS - 1 and len(cut) in (4, 5)
+    assert store.cut([(0, 9), (20, 29)], {3: 900, 4: 1, 25: 5}, 300) == [(0, 3), (4, 9), (20, 29)]
+    whole = table._started()
+    table._rewrite(table.read(), list(whole[1]), {s: store.RANGE_ROWS * n // 50 for s, n in table._slots(table.read()).items()}, whole)
+    many = table.manifest()
+    shop.append_message("chat5", "q", "a", [])
+    changed = {name for name in many if table.manifest().get(name) != many[name]}
+    assert len(many) > 10 and len(changed) == 1 and store.span(changed.pop())[0] <= store.slot("chat5") and table.count() == 1001
+    ids = spark.createDataFrame([("chat5",), ("ü",), ("",)], "id string")
+    assert [r[0] for r in ids.select(store.slot_of(F.col("id"))).collect()] == [store.slot(v) for v in ("chat5", "ü", "")]
+
+
+def test_tables_with_a_folder_for_each_chat_are_read_and_changed(spark, shop):
+    table = shop.chats
+    spark.createDataFrame([("a", "First", None), ("b c", "Second", None)], table.schema).withColumn("_by", F.col("id")).write.partitionBy("_by").parquet(f"{table.path}/v-old")
+    fs, file = table._fs(f"{table.path}/manifest-0000000001.json")
+    out = fs.create(file, False)
+    out.write(bytearray(b'{"a": ["v-old/_by=a"], "b c": ["v-old/_by=b c"]}'))
+    out.close()
+    assert {r["id"] for r in table.read().collect()} == {"a", "b c"} and table.read(["b c"]).first()["name"] == "Second"
+    table.delete(["a"])
+    assert [r["id"] for r in table.read().collect()] == ["b c"]
+
+
 def test_archives_are_ingested(spark, shop):
     inner = archive(**{"notes/plan.txt": b"The plan of the bridge is ready.", "notes/cost.txt": b"Cost is high this year.", "pic.png": b"x"})
     report = pipeline.ingest(shop, byte_files(spark, **{"/up/all.zip": inner, "/up/bad.zip": b"no archive", "/up/one.txt": b"One more text."}), chat_id="z")
