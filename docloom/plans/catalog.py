@@ -378,11 +378,12 @@ h as (select page_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1) as title, r
 
 
 def _page_segments(spark, sf_dir):
-    """The h1 of a page is a heading, its p elements are bodies of that section."""
+    """The h1 of a page is a heading of level 1, whatever number its title begins with; its p elements are bodies of that
+    section."""
     pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title"), F.regexp_extract_all("html", F.lit("<p>([^<]+)</p>"), F.lit(1)).alias("paras"))
     items = F.concat(F.array("title"), F.col("paras"))
     rows = pages.select("page_id", "title", F.posexplode(items).alias("seg_no", "text"))
-    return rows.select(F.lit("web").alias("chat_id"), F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("file_path"), "seg_no", "text", F.col("title").alias("section"), (F.col("seg_no") / 5).cast("int").alias("page"), F.lit(None).cast("int").alias("heading_level"), (F.col("seg_no") == 0).alias("is_heading"), F.lit(None).cast("string").alias("content_kind"))
+    return rows.select(F.lit("web").alias("chat_id"), F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("file_path"), "seg_no", "text", F.col("title").alias("section"), (F.col("seg_no") / 5).cast("int").alias("page"), F.when(F.col("seg_no") == 0, 1).alias("heading_level"), (F.col("seg_no") == 0).alias("is_heading"), F.lit(None).cast("string").alias("content_kind"))
 
 
 @query(f"""with {PAGES_SQL}

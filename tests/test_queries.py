@@ -33,6 +33,20 @@ def test_matches_sql(spark, name):
     assert mine == theirs
 
 
+def test_numbered_page_titles_match_sql(spark, tmp_path):
+    """An h1 is of level 1 even if its title begins with an address or a section number."""
+    html = "<h1>{}</h1><p>One.</p><p> Two. </p>"
+    rows = [(1, "u/1", html.format("56.187.231.175 Keit")), (2, "u/2", html.format("2.1 Scope")), (3, "u/3", html.format("Plain"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("section_tree_text", "structure_score"):
+        want = con.execute(entry.oracle_sql()[name])
+        columns = [d[0] for d in want.description]
+        got = entry.queries()[name](spark, str(tmp_path)).select(columns)
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
