@@ -8,6 +8,9 @@ Every ranking has a total order, so results don't depend on partitioning.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from docloom.sources.scratch import materialised
 
 #: Bytes that may be broadcast after they were measured; larger sides are shuffled.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of vectors in a block of questions and in one of rows; every question block meets every row block once.
+QUESTION_BLOCK, VECTOR_BLOCK = 8 << 20, 4 << 20
 #: Bytes by which a value of a type is taken into account before it is measured.
 _WIDTHS = {"string": 64, "binary": 256}
 
@@ -109,6 +114,112 @@ def dense_scores(questions: DataFrame, vectors: DataFrame, query_col: str = "vec
     return found
 
 
+def dense_top(questions: DataFrame, vectors: DataFrame, limit: int, query_col: str = "vector", dense_col: str = "dense") -> DataFrame:
+    """(query_id, chunk_id, score, rank): the ``limit`` nearest vectors of every question, exactly those that ranking all of
+    ``dense_scores`` gives. Questions and vectors meet in a grid of blocks; a block's matrix product says which of its
+    pairs can be among the first, and only those are scored in full and leave the block."""
+    from pyspark.sql.types import DoubleType, StructType
+
+    asked = questions.select("query_id", F.col(query_col).cast("array<double>").alias("_q"))
+    v = vectors.select("chunk_id", F.col(dense_col).cast("array<double>").alias("_v"))
+    rows = lambda df, c, most: int(-(-(df.agg(F.sum(F.coalesce(F.size(c), F.lit(0)) * 8 + 64)).first()[0] or 0) // most)) or 1
+    n_q, n_v = rows(asked, "_q", QUESTION_BLOCK), rows(v, "_v", VECTOR_BLOCK)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tasks = min(2 * n_q * n_v, 2000)
+    left = asked.select("*", block("query_id", n_q).alias("_qb")).select("*", every(n_v).alias("_vb")).repartition(tasks, "_qb", "_vb")
+    right = v.select("*", block("chunk_id", n_v).alias("_vb")).select("*", every(n_q).alias("_qb")).repartition(tasks, "_qb", "_vb")
+
+    def meet(q: pa.Table, v: pa.Table) -> pa.Table:
+        at, of, scores = nearest(q.column("_q"), v.column("_v"), v.column("chunk_id"), limit)
+        return pa.table({"query_id": q.column("query_id").take(at), "chunk_id": v.column("chunk_id").take(of), "score": pa.array(scores, pa.float64())})
+
+    schema = StructType([asked.schema["query_id"], v.schema["chunk_id"]]).add("score", DoubleType())
+    found = left.groupBy("_qb", "_vb").cogroup(right.groupBy("_qb", "_vb")).applyInArrow(meet, schema)
+    return ranked(found.withColumn("score", F.round("score", 6)), limit)
+
+
+def _matrices(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length -> (rows, their vectors); rows with a null are in none."""
+    lists = column.combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    lengths = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(lists)
+    starts = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))])[:-1]
+    holes = np.flatnonzero(flat.is_null().to_numpy(zero_copy_only=False)) if flat.null_count else np.zeros(0, int)
+    values = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False)
+    whole = lengths > 0
+    whole[np.searchsorted(starts + np.maximum(lengths, 0), holes, "right")] = False
+    found = {}
+    for length in np.unique(lengths[whole]).tolist():
+        rows = np.flatnonzero(whole & (lengths == length))
+        found[length] = rows, values[starts[rows][:, None] + np.arange(length)]
+    return found
+
+
+def _folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products row by row, summed in order as ``vectors.dot`` does."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += a[:, k] * b[:, k]
+    return total
+
+
+def nearest(questions: pa.ChunkedArray, vectors: pa.ChunkedArray, ids: pa.ChunkedArray, limit: int, step: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of questions, places of vectors, cosines): all pairs that can be among a question's first ``limit`` once
+    cosines are rounded to 6 digits and ties go by id. Of equal cosines the first ``limit`` by id are enough."""
+    n = len(vectors)
+    place = np.empty(n, np.int64)
+    place[pc.sort_indices(ids, sort_keys=[("", "ascending")], null_placement="at_start").to_numpy(zero_copy_only=False) if n else []] = np.arange(n)
+    asked, held = _matrices(questions), _matrices(vectors)
+    known = {}
+    with np.errstate(all="ignore"):
+        for side in (asked, held):
+            for length, (rows, m) in side.items():
+                norms = np.sqrt(_folded(m, m))
+                unit = m / norms[:, None]
+                unit[norms == 0] = 0.0
+                unit[~(np.isfinite(norms) & ((norms == 0) | (norms > 1e-150)))] = np.nan  # can't be judged: scored in full
+                side[length] = rows, m, norms, unit
+        for length, (rows, *_) in asked.items():
+            known |= {row: (length, k) for k, row in enumerate(rows.tolist())}
+        out = []
+        groups = [(length, rows[lo : lo + step]) for length, (rows, *_) in asked.items() for lo in range(0, len(rows), step)]
+        rest = np.array([k for k in range(len(questions)) if k not in known], np.int64)
+        groups += [(None, rest[lo : lo + step]) for lo in range(0, len(rest), step)]
+        for length, rows in groups if n else ():
+            rough = np.zeros((len(rows), n))
+            if length in held:
+                own = np.searchsorted(asked[length][0], rows)
+                rough[:, held[length][0]] = asked[length][3][own] @ held[length][3].T
+                rough[np.isnan(rough)] = np.inf
+            least = np.partition(rough, n - limit, axis=1)[:, n - limit, None] if n > limit else -np.inf
+            q, v = np.nonzero(rough >= least - 2e-6)
+            score = np.zeros(len(q))
+            if length in held:
+                _, m, norms, _ = held[length]
+                inner = np.full(n, -1)
+                inner[held[length][0]] = np.arange(len(m))
+                real = np.flatnonzero(inner[v] >= 0)
+                for lo in range(0, len(real), 65_536):
+                    some = real[lo : lo + 65_536]
+                    a, b = own[q[some]], inner[v[some]]
+                    below = asked[length][2][a] * norms[b]
+                    score[some] = np.where(below == 0, 0.0, _folded(asked[length][1][a], m[b]) / below)
+            order = np.where(np.isnan(score), np.inf, score)
+            by = np.lexsort((place[v], -order, q))
+            q, v, score, order = q[by], v[by], score[by], order[by]
+            starts = np.searchsorted(q, np.arange(len(rows)))
+            ends = np.searchsorted(q, np.arange(len(rows)), "right")
+            last = order[np.minimum(starts + limit, ends) - 1]
+            new = np.concatenate([[True], (q[1:] != q[:-1]) | (order[1:] != order[:-1])])
+            nth = np.arange(len(q)) - np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
+            keep = (nth < limit) & (order >= last[q] - 1e-6)
+            out.append((rows[q[keep]], v[keep], score[keep]))
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return tuple(np.concatenate(x) for x in zip(empty, *out, strict=True))
+
+
 def query_blocks(asked: DataFrame, most: int = BROADCAST_BYTES) -> list[DataFrame]:
     """Questions with vectors as sides that may be broadcast: one if they are small, else as many as their size asks for."""
     one = small(asked, most)

@@ -268,8 +268,8 @@ select query_id, chunk_id, score, r as rank from (select *, row_number() over (p
 def dense_topk(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    s = retrieval.dense_scores(q, e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("dense")))
-    return retrieval.ranked(s, 20).select("query_id", "chunk_id", "score", "rank")
+    rows = e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("dense"))
+    return retrieval.dense_top(q, rows, 20).select("query_id", "chunk_id", "score", "rank")
 
 
 FUSED_SQL = """

@@ -230,6 +230,22 @@ def test_wrong_dimension(spark, shop):
         shop.index_points(row)
 
 
+def test_nearest_vectors_agree_with_all_scores(spark, monkeypatch):
+    """Blocks give what ranking every pair gives: copies tie by id, near ties by rounding, odd vectors count as before."""
+    rng = np.random.default_rng(5)
+    made = [rng.normal(size=6).tolist() for _ in range(150)]
+    made += [made[3]] * 60 + [(np.array(made[3]) + 1e-8 * k).tolist() for k in range(40)] + [[0.0] * 6, None, [1.0, None, 2.0, 0.0, 0.0, 1.0], [1.0, 2.0], [], [float("nan")] * 6, [float("inf")] + [1.0] * 5]
+    rows = spark.createDataFrame([(f"{k * 7 % 1000}", v) for k, v in enumerate(made)], "chunk_id string, dense array<double>").withColumn("query_id", F.col("chunk_id").cast("long"))
+    asked = rows.where("query_id % 5 = 0 or dense is null or size(dense) < 6").select("query_id", F.col("dense").alias("vector"))
+    want = [tuple(map(repr, r)) for r in retrieval.ranked(retrieval.dense_scores(asked, rows), 20).select("query_id", "chunk_id", "score", "rank").collect()]
+    for most in (1 << 20, 3000):  # one block; a grid
+        monkeypatch.setattr(retrieval, "QUESTION_BLOCK", most)
+        monkeypatch.setattr(retrieval, "VECTOR_BLOCK", most)
+        found = retrieval.dense_top(asked, rows, 20)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(map(repr, r)) for r in found.select("query_id", "chunk_id", "score", "rank").collect()) == sorted(want)
+
+
 def test_postings_agree(spark):
     texts = spark.createDataFrame([("a", "The cat, the dog. Über 12"), ("b", ""), ("c", "dog dog dog cat"), ("d", None)], "chunk_id string, text string")
     got = {(r["chunk_id"], r["term"]): (r["tf"], r["n_terms"]) for r in retrieval.postings(texts).collect()}
