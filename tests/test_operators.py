@@ -31,6 +31,23 @@ def test_semantic_parts():
     assert split(["a" * 200, "b"], [same] * 2, semantic_max_characters=100) == ["a" * 200, "b"]
 
 
+def test_python_stages_get_small_batches(spark):
+    """However many rows a task has, an embedder is called before more than a few MB of them have been taken in."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    text = "A cat sat on a mat. " * 500
+    rows = spark.range(0, 2000, 1, 1).select(F.lit(text).alias("text"), F.array(F.lit(text), F.col("id").cast("string")).alias("s"))
+    taken = []
+
+    def sizes(texts):
+        taken.append(len(texts))
+        return np.full((len(texts), 2), max(taken), dtype=float)
+
+    most = chunking.semantic_chunks(rows, "s", sizes, batch=100_000).where(F.length(F.element_at("parts", 1)) < len(text))
+    assert most.count() == 0  # grouped as before
+    got = pipeline.embedded(rows.drop("s"), "text", sizes, batch=100_000)
+    assert got.count() == 2000 and got.agg(F.max(F.element_at("dense", 1))).first()[0] <= (4 << 20) / len(text)
+
+
 def test_chunk_segments(spark):
     rows = [(0, "Heading", "heading"), (1, "One. Two. ***", None), (2, "Table 1\nHeaders: a", "table"), (3, "Page 3", None)]
     df = spark.createDataFrame(rows, "source_segment int, text string, content_kind string")
