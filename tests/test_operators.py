@@ -48,6 +48,21 @@ def test_python_stages_get_small_batches(spark):
     assert got.count() == 2000 and got.agg(F.max(F.element_at("dense", 1))).first()[0] <= (4 << 20) / len(text)
 
 
+def test_parents_come_from_one_pass_over_files(spark):
+    """Files that follow one another in a task, cut by batches, don't see one another's headings; no call for each file."""
+    rows = [("c", f"f{f}", o, (f + o) % 4 + 1) for f in range(40) for o in range(1, 30)]
+    nodes = spark.createDataFrame(rows, "chat_id string, file_path string, ord int, level int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = structure.with_parents(nodes)
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["file_path"], r["ord"]): r["parent_ord"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    level = {(f, o): v for _, f, o, v in rows}
+    assert got == {(f, o): max((p for p in range(1, o) if level[f, p] < v), default=None) for (f, o), v in level.items()}
+
+
 def test_chunk_segments(spark):
     rows = [(0, "Heading", "heading"), (1, "One. Two. ***", None), (2, "Table 1\nHeaders: a", "table"), (3, "Page 3", None)]
     df = spark.createDataFrame(rows, "source_segment int, text string, content_kind string")
